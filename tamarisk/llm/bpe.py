@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 TOKENIZER_DIR = "/opt/tokenizers"
 #: Fixed value: the pattern of public_tokenizers, with white space written out
 #: as Unicode's White_Space (the regex module's \s differs on U+001C to U+001F).
-_W = r"\t-\r\x20\x85\xa0  -     　"
+_W = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
     rf"| ?[^{_W}\p{{L}}\p{{N}}]+|[{_W}]+(?![^{_W}])|[{_W}]+"

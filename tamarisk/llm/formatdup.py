@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _DROP = regex.compile(r"[^\p{L}\p{M}\p{N}]+|\p{Default_Ignorable_Code_Point}+")
-_ITEMS = regex.compile(r"[\r\n\v\f\x85  ]+|[|;؛；•]")
+_ITEMS = regex.compile(r"[\r\n\v\f\x85\u2028\u2029]+|[|;؛；•]")
 _BULLET = regex.compile(r"[\s\p{Cf}]*(?:[-*–—•·▪‣◦+][\s\p{Cf}]*)?")
 _NUMBER = regex.compile(r"[\s\p{Cf}]*(\p{Nd}+)[.)]\s+")
 _LABEL = regex.compile(r"([^:=：]{1,60}?)\s*[:=：](.*)", regex.S)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.llm import bpe, formatdup, proportional, stable
+from tamarisk.llm import bpe, consensus, formatdup, proportional, sentences, stable
 from tamarisk.session import scratch_path, table
 
 
@@ -28,6 +28,30 @@ def p1_sample(spark: SparkSession, d: str) -> DataFrame:
     return _p1(spark, d)[0]
 
 
+def _p2(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return consensus.estimate(table(spark, d, "annotation_responses"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p2(spark, d)[0].where("n_annotators >= 3").select("item_id", "answer")
+
+
+def p2_items(spark: SparkSession, d: str) -> DataFrame:
+    return _p2(spark, d)[0]
+
+
+def p2_annotators(spark: SparkSession, d: str) -> DataFrame:
+    return _p2(spark, d)[1]
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    docs, cues = table(spark, d, "doc_records"), table(spark, d, "tagged_cues")
+    model = sentences.learn(docs.select(F.col("text_norm").alias("text")))
+    texts = docs.select(F.lit("doc").alias("kind"), F.col("doc_id").alias("record_id"), F.col("text_norm").alias("text"))
+    texts = texts.unionByName(cues.select(F.lit("cue").alias("kind"), F.col("cue_id").alias("record_id"), F.col("sentence_context").alias("text")))
+    return sentences.sentences(texts, ["kind", "record_id"], "text", model)
+
+
 def _registry(spark: SparkSession, d: str) -> DataFrame:
     return stable.register(table(spark, d, "tagged_cues"), scratch_path(spark, "prn"), "cue_id")
 
@@ -55,7 +79,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p4_sample, p4_sizes, p5_found, p5_records, p6_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_items, p2_annotators, p3_found, p4_sample, p4_sizes, p5_found, p5_records, p6_ids)}
 
 _STRIP = r"lower(regexp_replace({}, '^[\s\x1c-\x1f\x{{85}}\pZ]+|[\s\x1c-\x1f\x{{85}}\pZ]+$', '', 'g'))"
 _P1 = f"""
