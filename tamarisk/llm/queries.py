@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.llm import bpe, consensus, formatdup, proportional, sentences, stable
-from tamarisk.session import scratch_path, table
+from tamarisk.llm import abuse, bpe, consensus, formatdup, packing, proportional, sentences, stable
+from tamarisk.session import cut, scratch_path, table
 
 
 def _p1(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -79,7 +79,32 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_items, p2_annotators, p3_found, p4_sample, p4_sizes, p5_found, p5_records, p6_ids)}
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    sized = cut(bpe.token_counts(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "n_tokens"))
+    return packing.containers(sized, table(spark, d, "pack_profiles"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fills(p7_containers(spark, d), table(spark, d, "pack_profiles"))
+
+
+def _p8(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.score(table(spark, d, "documents").select("doc_id", "source", "text"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p8(spark, d).where(F.col("score") >= abuse.THRESHOLD).select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _p8(spark, d).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def p8_sources(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.source_rates(_p8(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_items, p2_annotators, p3_found, p4_sample, p4_sizes, p5_found, p5_records, p6_ids, p7_containers, p7_fill, p8_found, p8_scores, p8_sources)}
 
 _STRIP = r"lower(regexp_replace({}, '^[\s\x1c-\x1f\x{{85}}\pZ]+|[\s\x1c-\x1f\x{{85}}\pZ]+$', '', 'g'))"
 _P1 = f"""
