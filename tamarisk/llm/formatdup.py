@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamarisk.session import cut
+
 _DROP = regex.compile(r"[^\p{L}\p{M}\p{N}]+|\p{Default_Ignorable_Code_Point}+")
 _ITEMS = regex.compile(r"[\r\n\v\f\x85\u2028\u2029]+|[|;؛；•]")
 _BULLET = regex.compile(r"[\s\p{Cf}]*(?:[-*–—•·▪‣◦+][\s\p{Cf}]*)?")
@@ -139,7 +141,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text_raw") -> DataF
     """
     rows = df.select(F.col(f"`{key}`").cast("string").alias("id"), F.col(f"`{text}`").alias("t")).where("id IS NOT NULL")
     rows = rows.select("id", _per_text(roots, "binary", "t").alias("r"))
-    ids = rows.groupBy("id", "r.plain", "r.list").agg(F.count("*").alias("n_rows"))
+    ids = cut(rows.groupBy("id", "r.plain", "r.list").agg(F.count("*").alias("n_rows")))
     by_plain = ids.where("plain IS NOT NULL").groupBy("plain").agg(F.min("list").alias("any_list")).where("any_list IS NOT NULL")
     ids = ids.join(by_plain, "plain", "left")
     ids = ids.select("id", "n_rows", F.coalesce("list", "any_list", "plain").alias("root"))
