@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -38,7 +38,8 @@ _LONG = regex.compile(r"(\p{L})\1{2,}")
 _PASSAGE = regex.compile(r"(?<=[.!?؟…])[\"»”)]*\s+|[。！？।።۔]+|[\n\r]+")
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}*$@']+")
 _SOLID = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}]")
-_FOLD = str.maketrans({"أ": "ا", "إ": "ا", "آ": "ا", "ى": "ي", "ة": "ه", "ؤ": "و", "ئ": "ي", "ё": "е", "’": "'", "@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"})
+_FOLD = str.maketrans({"أ": "ا", "إ": "ا", "آ": "ا", "ى": "ي", "ة": "ه", "ؤ": "و", "ئ": "ي", "ё": "е", "’": "'", "@": "a", "$": "s"})
+_DIGITS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"})
 
 
 def clean(text: str) -> str:
@@ -57,11 +58,12 @@ def passages(text: str) -> list[list[str]]:
     of their own.
     """
     found = []
-    for part in _PASSAGE.split(clean(text)):
-        if not part:
+    for part in _PASSAGE.split(clean(text).lower().translate(_FOLD)):
+        if not part or not (words := _TOKEN.findall(part)):
             continue
-        words = [w if w.isdecimal() else w.translate(_FOLD) for w in _TOKEN.findall(part.lower())]
-        spaced = [w for w in words if not _SOLID.search(w)]
+        if not part.isalpha():
+            words = [w if w.isalpha() or w.isdecimal() else w.translate(_DIGITS) for w in words]
+        spaced = [w for w in words if not _SOLID.search(w)] if _SOLID.search(part) else words
         for run in (words, spaced) if 3 <= len(spaced) < len(words) else (words,):
             for k in range(0, max(1, len(run) - WINDOW // 2), WINDOW // 2):
                 if run[k : k + WINDOW]:
@@ -82,12 +84,9 @@ def pieces(word: str) -> tuple[str, ...]:
     return (word, *(edged[i : i + n] for n in (3, 4, 5) for i in range(len(edged) - n + 1)))
 
 
-def features(words: list[str]) -> set[str]:
-    out: set[str] = set()
-    for w in words:
-        out.update(pieces(w))
-    out.update(f"{a} {b}" for a, b in zip(words, words[1:]))
-    return out
+def features(words: list[str]) -> list[str]:
+    """All features of a passage, as often as they occur."""
+    return [*(x for w in words for x in pieces(w)), *(f"{a} {b}" for a, b in zip(words, words[1:]))]
 
 
 def _fill(template: str, rng: random.Random) -> str:
@@ -124,15 +123,28 @@ def _swapped(template: str, rng: random.Random) -> tuple[str, str]:
 
 @dataclass
 class Model:
-    """Weights by feature, and the bias."""
+    """Weights by feature, and the bias; what a word adds is kept once computed."""
 
     weights: dict[str, float]
     bias: float
+    words: dict[str, tuple[float, int]] = field(default_factory=dict)
 
     def score(self, words: list[str]) -> float:
-        f = features(words)
-        get = self.weights.get
-        return self.bias + sum(get(x, 0.0) for x in f) / max(1.0, len(f)) ** 0.5
+        get, known = self.weights.get, self.words
+        total, n = 0.0, len(words) - 1
+        before = None
+        for w in words:
+            if (own := known.get(w)) is None:
+                if len(known) > 200_000:
+                    known.clear()
+                p = pieces(w)
+                own = known[w] = (sum(get(x, 0.0) for x in p), len(p))
+            total += own[0]
+            n += own[1]
+            if before is not None:
+                total += get(f"{before} {w}", 0.0)
+            before = w
+        return self.bias + total / max(1.0, n) ** 0.5
 
     def probability(self, text: str | None) -> float:
         """The highest probability of a passage; 0 for null and blank texts."""

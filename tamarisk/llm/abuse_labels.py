@@ -271,6 +271,7 @@ The note read, "Come early. Bring your papers. Ask for {name}." and nothing else
 Weekly targets are set by {name} & {name} and reviewed on Sunday.
 What do we expect? Care, speed, and a calm voice!
 It was a good place to grow?! I would say so.
+I answered that {firm} did.
 Ad no.
 {name} asked: "Who trained you?"
 {name}.
