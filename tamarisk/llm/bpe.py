@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -121,6 +121,20 @@ def _slices(texts: pd.Series, chars: int) -> Iterator[slice]:
     yield slice(begin, len(texts))
 
 
+def token_ids(text: Column, path: str, batch_chars: int = 2_000_000) -> Column:
+    """The ids of a text column as array<int>."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bpe = load(path)
+        for texts in batches:
+            found: list[np.ndarray] = []
+            for s in _slices(texts, batch_chars):
+                found += bpe.encode_batch(texts.iloc[s].tolist())
+            yield pd.Series(found, dtype=object)
+
+    return F.pandas_udf(run, "array<int>")(text.cast("string"))
+
+
 def encode(
     df: DataFrame,
     text: str = "text",
@@ -137,20 +151,10 @@ def encode(
     are merged together. Other columns are kept, unless named ``out``, which
     is replaced. An empty table gives an empty result. No shuffle takes place.
     """
-    path = f"{tokenizer_dir}/{tokenizer}.json"
-
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = load(path)
-        for texts in batches:
-            found: list[np.ndarray] = []
-            for s in _slices(texts, batch_chars):
-                found += bpe.encode_batch(texts.iloc[s].tolist())
-            yield pd.Series(found, dtype=object)
-
-    return df.withColumn(out, ids(F.col(f"`{text}`").cast("string")))
+    return df.withColumn(out, token_ids(F.col(f"`{text}`"), f"{tokenizer_dir}/{tokenizer}.json", batch_chars))
 
 
-def token_counts(df: DataFrame, text: str = "text", out: str = "n_tokens", **options) -> DataFrame:
+def token_counts(df: DataFrame, text: str = "text", out: str = "n_tokens", tokenizer: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
     """df with the number of tokens of column ``text``, 0 for null and empty."""
-    return encode(df, text, "__ids", **options).withColumn(out, F.size("__ids").cast("int")).drop("__ids")
+    ids = token_ids(F.col(f"`{text}`"), f"{tokenizer_dir}/{tokenizer}.json")
+    return df.withColumn(out, F.size(ids).cast("int"))

@@ -126,51 +126,66 @@ def _per_text(function, kind: str, column: str) -> Column:
     return F.pandas_udf(run, f"struct<plain: {kind}, list: {kind}>")(column)
 
 
-def classes(df: DataFrame, key: str = "doc_id", text: str = "text_raw") -> DataFrame:
-    """One row per id: id, root, n_rows (deliveries), root_ids (ids of the root).
-
-    Two ids are of one root if they agree as running text or as lists; a text
-    whose list layout can't be told joins the list that has its letters in the
-    same order. Only digests and ids are shuffled, and counts are combined
-    before the shuffle, so a root shared by a third of all rows is no hot key.
+def digests(df: DataFrame, key: str = "doc_id", text: str = "text_raw") -> DataFrame:
+    """One row per id and root: id, plain, list, n_rows (deliveries); kept by a checkpoint.
 
-    Null ids are ignored; a null text or one without letters, marks and digits
-    is a class of its own (root null). Repeated rows count in n_rows. An id
-    with several texts keeps each root. Other columns are ignored. Texts are
-    read whole, whatever their length. An empty table gives an empty result.
+    Only digests and ids are shuffled, and counts are combined before the
+    shuffle, so a root shared by a third of all rows is no hot key.
     """
     rows = df.select(F.col(f"`{key}`").cast("string").alias("id"), F.col(f"`{text}`").alias("t")).where("id IS NOT NULL")
     rows = rows.select("id", _per_text(roots, "binary", "t").alias("r"))
-    ids = cut(rows.groupBy("id", "r.plain", "r.list").agg(F.count("*").alias("n_rows")))
-    by_plain = ids.where("plain IS NOT NULL").groupBy("plain").agg(F.min("list").alias("any_list")).where("any_list IS NOT NULL")
-    ids = ids.join(by_plain, "plain", "left")
-    ids = ids.select("id", "n_rows", F.coalesce("list", "any_list", "plain").alias("root"))
-    sizes = ids.where("root IS NOT NULL").groupBy("root").agg(F.count("*").alias("root_ids"), F.min("id").alias("first_id"))
-    return ids.join(sizes, "root", "left").select("id", "root", "n_rows", F.coalesce("root_ids", F.lit(1)).alias("root_ids"), F.coalesce("first_id", "id").alias("first_id"))
+    return cut(rows.groupBy("id", "r.plain", "r.list").agg(F.count("*").alias("n_rows")))
+
+
+def groups(ids: DataFrame) -> DataFrame:
+    """(kind, root, id, first_id) of roots with several ids, for both kinds of root."""
+    each = F.explode(F.array(F.struct(F.lit("text").alias("kind"), F.col("plain").alias("root")), F.struct(F.lit("list").alias("kind"), F.col("list").alias("root"))))
+    rows = ids.select("id", each.alias("g")).select("g.kind", "g.root", "id").where("root IS NOT NULL").distinct()
+    sizes = rows.groupBy("kind", "root").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1").drop("n")
+    return rows.join(sizes, ["kind", "root"])
 
 
 def confirmed(df: DataFrame, key: str = "doc_id", text: str = "text_raw") -> DataFrame:
-    """(root, first_id, id) of the roots with several ids, compared in full.
+    """(kind, root, id) of the roots with several ids, compared in full.
 
     Every member's normalised tree is compared with that of the root's first
     member, so a collision of digests can't make a pair.
     """
-    groups = classes(df, key, text).where("root_ids > 1").select("id", "root", "first_id")
+    found = groups(digests(df, key, text))
     texts = df.select(F.col(f"`{key}`").cast("string").alias("id"), F.col(f"`{text}`").alias("t"))
-    texts = texts.join(groups.select("id").distinct(), "id", "left_semi").select("id", _per_text(structure, "string", "t").alias("s"))
-    members = groups.join(texts, "id").select("root", "first_id", "id", "s.*").distinct()
-    linked = members.where("list IS NOT NULL").groupBy("root", "plain").agg(F.min("list").alias("same_list"))
-    members = members.join(linked, ["root", "plain"], "left")
-    members = members.select("root", "first_id", "id", F.coalesce("list", "same_list", "plain").alias("tree")).distinct()
-    firsts = members.where("id = first_id").select("root", F.col("tree").alias("first_tree"))
-    return members.join(firsts, "root").where("tree = first_tree").select("root", "first_id", "id").distinct()
+    texts = texts.join(found.select("id").distinct(), "id", "left_semi").select("id", _per_text(structure, "string", "t").alias("s"))
+    tree = F.when(F.col("kind") == "text", F.col("s.plain")).otherwise(F.col("s.list"))
+    members = found.join(texts, "id").select("kind", "root", "first_id", "id", tree.alias("tree")).where("tree IS NOT NULL").distinct()
+    firsts = members.where("id = first_id").select("kind", "root", F.col("tree").alias("first_tree"))
+    return members.join(firsts, ["kind", "root"]).where("tree = first_tree").select("kind", "root", "id").distinct()
 
 
 def pairs(df: DataFrame, key: str = "doc_id", text: str = "text_raw") -> DataFrame:
-    """All pairs of different ids of one root, smaller id first."""
+    """All pairs of different ids that agree as running text or as lists, smaller id first.
+
+    Null ids and texts, and texts without letters, marks and digits, are in no
+    pair. Repeated rows count once; an id with several texts is paired by each
+    of them. Texts are read whole, whatever their length. Other columns are
+    ignored. An empty table gives an empty result.
+    """
     m = confirmed(df, key, text)
-    a, b = (m.select("root", F.col("id").alias(f"{key}_{x}")) for x in "ab")
-    return a.join(b, "root").where(F.col(f"{key}_a") < F.col(f"{key}_b")).select(f"{key}_a", f"{key}_b").distinct()
+    a, b = (m.select("kind", "root", F.col("id").alias(f"{key}_{x}")) for x in "ab")
+    return a.join(b, ["kind", "root"]).where(F.col(f"{key}_a") < F.col(f"{key}_b")).select(f"{key}_a", f"{key}_b").distinct()
+
+
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text_raw") -> DataFrame:
+    """One row per id and class: id, root, n_rows (deliveries), first_id (the class's smallest id).
+
+    As running texts and lists may chain, a text whose list layout can't be
+    told joins the class of the list that has its letters in the same order.
+    A null text or one without letters, marks and digits is a class of its own
+    (root null). Null ids are ignored. An empty table gives an empty result.
+    """
+    ids = digests(df, key, text)
+    by_plain = ids.where("plain IS NOT NULL").groupBy("plain").agg(F.min("list").alias("any_list")).where("any_list IS NOT NULL")
+    ids = ids.join(by_plain, "plain", "left").select("id", "n_rows", F.coalesce("list", "any_list", "plain").alias("root"))
+    firsts = ids.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("first_id"))
+    return ids.join(firsts, "root", "left").select("id", "root", "n_rows", F.coalesce("first_id", "id").alias("first_id"))
 
 
 def collapsed(df: DataFrame, key: str = "doc_id", text: str = "text_raw") -> DataFrame:

@@ -126,7 +126,7 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def items(sized: DataFrame, profiles: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(profile_id, capacity, key, piece, n_tokens): what is to be packed.
+    """(profile_id, capacity, key, piece, n_tokens, of_tokens): what is to be packed.
 
     A document of more tokens than the capacity is cut into full pieces and a
     rest; all others are one item, piece 0.
@@ -135,26 +135,27 @@ def items(sized: DataFrame, profiles: DataFrame, key: str = "doc_id") -> DataFra
     if len(rows) > MAX_PROFILES:
         raise ValueError(f"over {MAX_PROFILES} profiles")
     if not rows:
-        return sized.select(F.lit(0).alias("profile_id"), F.lit(0).alias("capacity"), key, F.lit(0).alias("piece"), "n_tokens").limit(0)
+        return sized.select(F.lit(0).alias("profile_id"), F.lit(0).alias("capacity"), key, F.lit(0).alias("piece"), "n_tokens", F.col("n_tokens").alias("of_tokens")).limit(0)
     each = F.explode(F.array(*[F.struct(F.lit(int(r[0])).alias("profile_id"), F.lit(int(r[1])).alias("capacity")) for r in sorted(rows)]))
     out = sized.select(key, "n_tokens", each.alias("p")).select(key, "n_tokens", "p.*")
     last = F.greatest(F.lit(0), F.ceil(F.col("n_tokens") / F.col("capacity")).cast("int") - 1)
     out = out.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
     rest = F.least(F.col("capacity"), F.col("n_tokens") - F.col("piece") * F.col("capacity")).cast("int")
-    return out.select("profile_id", "capacity", key, "piece", rest.alias("n_tokens"))
+    return out.select("profile_id", "capacity", key, "piece", rest.alias("n_tokens"), F.col("n_tokens").alias("of_tokens"))
 
 
 def containers(sized: DataFrame, profiles: DataFrame, key: str = "doc_id", shard_items: int = SHARD_ITEMS) -> DataFrame:
     """Every item with its container: profile_id, container_id, key, piece, n_tokens.
 
     sized: key and n_tokens, which the caller keeps (it is read twice).
-    Containers of different profiles and shards have different ids. Items
-    without tokens lie in their shard's first container. Null n_tokens counts
-    as 0. Repeated rows are items of their own. Empty tables and non-positive
-    capacities give no rows. One shard is one task of about ``shard_items``
+    Containers have names: profile, then shard and number, or the document
+    and piece that fill one alone. Items without tokens lie in their shard's
+    first container. Null n_tokens counts as 0. Repeated rows count once; a
+    key with several sizes is an item for each. Null keys are items like
+    others. Empty tables and non-positive capacities give no rows. One shard is one task of about ``shard_items``
     items, of whatever documents: no key makes it large.
     """
-    sized = sized.select(key, F.coalesce(F.col("n_tokens"), F.lit(0)).cast("int").alias("n_tokens"))
+    sized = sized.select(key, F.coalesce(F.col("n_tokens"), F.lit(0)).cast("int").alias("n_tokens")).distinct()
     todo = items(sized, profiles, key)
     full = F.col("n_tokens") == F.col("capacity")
     counts = {r[0]: r[1] for r in todo.where(~full).groupBy("profile_id").count().collect()}
@@ -162,9 +163,10 @@ def containers(sized: DataFrame, profiles: DataFrame, key: str = "doc_id", shard
     for profile, n in sorted(counts.items()):
         shards = F.when(F.col("profile_id") == profile, max(1, round(n / shard_items))).otherwise(shards)
     kind = dict(sized.dtypes)[key]
-    # a full piece is a container; the odd ids are theirs
-    exact = todo.where(full).withColumn("container_id", F.xxhash64(key, "piece").bitwiseOR(F.lit(1)))
-    shard = F.pmod(F.xxhash64(key, "piece"), shards).cast("int")
+    # a full piece is a container
+    name = F.concat_ws("-", F.col("profile_id").cast("string"), F.lit("full"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("piece").cast("string"), F.col("of_tokens").cast("string"))
+    exact = todo.where(full).withColumn("container_id", name)
+    shard = F.pmod(F.xxhash64(key, "piece", "of_tokens"), shards).cast("int")
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values([key, "piece", "n_tokens"], kind="stable")
@@ -172,10 +174,10 @@ def containers(sized: DataFrame, profiles: DataFrame, key: str = "doc_id", shard
         where = np.zeros(len(sizes), dtype=np.int64)
         some = np.flatnonzero(sizes > 0)
         where[some] = pack(sizes[some], int(batch["capacity"].iloc[0]))
-        batch["container_id"] = (int(batch["shard"].iloc[0]) << 33) + where * 2
+        batch["container_id"] = [f"{batch['profile_id'].iloc[0]}-{batch['shard'].iloc[0]}-{k}" for k in where]
         return batch[["profile_id", "container_id", key, "piece", "n_tokens"]]
 
-    schema = f"profile_id int, container_id bigint, `{key}` {kind}, piece int, n_tokens int"
+    schema = f"profile_id int, container_id string, `{key}` {kind}, piece int, n_tokens int"
     packed = todo.where(~full).withColumn("shard", shard).groupBy("profile_id", "shard").applyInPandas(run, schema)
     return packed.unionByName(exact.select("profile_id", "container_id", key, "piece", "n_tokens"))
 

@@ -55,7 +55,7 @@ def register(ids: DataFrame, path: str, column: str) -> DataFrame:
 
 def arcs(plans: DataFrame) -> DataFrame:
     """The plans' arcs, one row for each of the ARCS pieces that one touches."""
-    at = plans.select("plan_id", F.coalesce(F.col("seed"), F.lit(0)).alias("seed"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("rate"))).alias("rate"))
+    at = plans.select("plan_id", F.coalesce(F.col("seed"), F.lit(0)).alias("seed"), F.least(F.lit(1.0), F.nanvl(F.coalesce(F.col("rate"), F.lit(0.0)), F.lit(0.0))).alias("rate"))
     at = at.where("plan_id IS NOT NULL AND rate > 0").dropDuplicates(["plan_id"]).withColumn("start", start(F.col("seed")))
     first = F.floor(F.col("start") * ARCS)
     last = F.least(first + ARCS - 1, F.floor((F.col("start") + F.col("rate")) * ARCS))
