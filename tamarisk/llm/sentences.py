@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tamarisk.session import cut
 
-#: Most rows (abbreviations, starters, continuers of all languages) the model may have.
+#: Most rows (of all kinds and languages) the model may have.
 MODEL_ROWS = 1_000_000
 #: Distinct keys a worker counts before it passes partial counts on.
 FLUSH_KEYS = 200_000
@@ -151,7 +151,7 @@ class Counts:
                 elif cased and kind == "Px":
                     what = "word:" + after.casefold()
                 elif cased and after[0].islower():
-                    what = "lower"
+                    what = "lower:" + after
                 else:
                     what = "word:" + after.casefold()
                 done[lang, "P", w.casefold(), what] += n
@@ -182,7 +182,8 @@ class Model:
 
     starters: set = field(default_factory=set)
     abbreviations: dict = field(default_factory=dict)  # -> whether it may end a sentence before a name
-    continuers: set = field(default_factory=set)
+    continuers: dict = field(default_factory=dict)  # -> whether it hardly ever begins a sentence
+    collocations: set = field(default_factory=set)  # (language, word with period, next word)
 
 
 def _ll(k: Column, n: Column, p: Column) -> Column:
@@ -209,7 +210,8 @@ def statistics(texts: DataFrame) -> DataFrame:
     start at least twice and in a twentieth of their uses. Abbreviations: Dunning's ratio of
     the word's periods against the language's, scaled for length, inner
     periods and uses without period; and mostly followed by what can't start a
-    sentence. Continuers: words after a quotation that rarely start sentences.
+    sentence. Continuers: words after a quotation that go on with its sentence.
+    Collocations: pairs of a word with period and a small next word.
     """
     c = texts.select("text").mapInPandas(_count, "lang string, kind string, a string, b string, n bigint")
     c = c.groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n"))
@@ -237,7 +239,7 @@ def statistics(texts: DataFrame) -> DataFrame:
     per = follow.groupBy("lang", "a").agg(
         F.sum("n").alias("p"),
         some(F.col("b") == "end").alias("end"),
-        some(F.col("b").isin("number", "lower")).alias("inner"),
+        some((F.col("b") == "number") | F.col("b").startswith("lower:")).alias("inner"),
         some(F.col("next").isNotNull() & F.col("st").isNull()).alias("name"),
     )
     sums = per.groupBy("lang").agg(F.sum("p").alias("all_p"))
@@ -262,9 +264,13 @@ def statistics(texts: DataFrame) -> DataFrame:
     seen = seen.join(seen.groupBy("lang").agg(F.sum("s2").alias("all_s2")), "lang")
     is_start = F.when(unspaced, (F.col("s") >= 2) & (F.col("s") >= 0.05 * F.col("u"))).otherwise(_often(F.col("s2"), F.col("u"), F.col("all_s2"), F.col("all_u")))
     starters = seen.where(is_start).select("lang", F.lit("S").alias("kind"), "a", F.lit(False).alias("flag"))
-    cont = quoted.join(starts, ["lang", "a"], "left").where((F.coalesce("s", F.lit(0)) + 1) < 0.25 * F.col("c"))
-    continuers = cont.select("lang", F.lit("C").alias("kind"), "a", F.lit(False).alias("flag"))
-    return starters.unionByName(abbreviations).unionByName(continuers)
+    cont = quoted.join(starts, ["lang", "a"], "left").where((F.col("c") >= 2) | (F.coalesce("s", F.lit(0)) + 1 < 0.25 * F.col("c")))
+    continuers = cont.select("lang", F.lit("C").alias("kind"), "a", (F.coalesce("s", F.lit(0)) + 1 < 0.25 * F.col("c")).alias("flag"))
+    # words that go on after a period of a word that is no abbreviation in general
+    pair = F.concat_ws("\t", "a", F.substring("b", 7, 1_000))
+    together = follow.where("b LIKE 'lower:%' AND n >= 2").join(abbreviations.select("lang", "a"), ["lang", "a"], "left_anti")
+    together = together.select("lang", F.lit("L").alias("kind"), pair.alias("a"), F.lit(False).alias("flag"))
+    return starters.unionByName(abbreviations).unionByName(continuers).unionByName(together)
 
 
 def learn(texts: DataFrame) -> Model:
@@ -278,8 +284,10 @@ def learn(texts: DataFrame) -> Model:
             model.starters.add((lang, a))
         elif kind == "A":
             model.abbreviations[lang, a] = flag
+        elif kind == "L":
+            model.collocations.add((lang, *a.split("\t")))
         else:
-            model.continuers.add((lang, a))
+            model.continuers[lang, a] = flag
     return model
 
 
@@ -400,7 +408,7 @@ def _split_line(text: str, low: int, high: int, lang: str, cased: bool, regular:
         if holder is not None:
             if end < holder[1]:
                 continue
-            if end >= len(line) or not _breaks_after_quote(line, end, lang, cased, regular, model):
+            if end >= len(line) or not _breaks_after_quote(line, end, not _WORD_CHAR.search(line, begin, holder[0]), lang, cased, regular, model):
                 continue
             unit(end)
             continue
@@ -419,12 +427,13 @@ def _following(line: str, end: int) -> tuple[str, str]:
     return word, word.casefold()
 
 
-def _breaks_after_quote(line: str, end: int, lang: str, cased: bool, regular: bool, model: Model) -> bool:
+def _breaks_after_quote(line: str, end: int, leads: bool, lang: str, cased: bool, regular: bool, model: Model) -> bool:
+    """Whether a sentence ends with a quotation; ``leads`` if it began with it."""
     if lang in ("zh", "ja"):
         rest = line[end:].lstrip()
         if not rest or not _WORD_CHAR.match(rest):
             return rest[:1] in "「『“《（("
-        return (lang, rest[:2]) not in model.continuers
+        return not model.continuers.get((lang, rest[:2]), False)
     m = _NEXT.match(line, end)
     if line[end : end + 1] in (",", "،", ";", "؛", "，", "、") or m[1][:1] in ("—", "–", "-"):
         return False
@@ -433,7 +442,8 @@ def _breaks_after_quote(line: str, end: int, lang: str, cased: bool, regular: bo
         return False
     if cased and regular:
         return not word[0].islower()
-    return (lang, folded) not in model.continuers
+    goes_on = model.continuers.get((lang, folded))
+    return not goes_on and (goes_on is None or not leads)
 
 
 def _breaks(line: str, begin: int, s: int, e: int, end: int, mark: str, lang: str, cased: bool, regular: bool, model: Model) -> bool:
@@ -465,7 +475,7 @@ def _breaks(line: str, begin: int, s: int, e: int, end: int, mark: str, lang: st
     if known is None and cased and len(left) == 1 and left.isalpha() and (left.isupper() or not regular):
         known = False
     if known is None:
-        return not lower
+        return not lower and (not cased or regular or (lang, key, folded) not in model.collocations)
     if len(left) == 1 and len(word) == 1:  # initials in a row
         return False
     if word[0].isdecimal() or lower:
@@ -488,6 +498,8 @@ def _joined(left: str, word: str, folded: str, starter: bool, cased: bool, regul
         return False
     if (lang, first[0].casefold()) in model.starters:
         return not (cased and regular and word[0].islower())
+    if not cased and not last.isascii():
+        return len(first[0]) > 1  # no capitals to tell by, but neither are there names like node.js
     return cased and regular and len(last) > 2 and len(first[0]) > 2 and last[-1].islower() and word[0].isupper() and not word.isupper()
 
 
