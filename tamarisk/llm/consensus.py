@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tamarisk.llm.proportional import BLANK, stripped
-from tamarisk.session import broadcast_if_small, cut
+from tamarisk.session import BROADCAST_ROWS, cut
 
 LABELS = ("applicant", "non_applicant", "unclear")
 
@@ -110,68 +110,90 @@ def estimate(responses: DataFrame, labels: tuple[str, ...] = LABELS, turns: int
     over the labels as common as they are), error_bound (upper confidence
     bound of the error rate), weight.
 
-    Each turn has one shuffle by item, for the weighted sums, and one of
-    (annotator, label) partial sums, however busy one annotator is. An item
-    has at most one vote of each annotator. The model (a row per annotator and
-    answer) is checkpointed each turn and broadcast only if counted to be
-    small. Ties go to the label with more votes, then to the earlier of
-    ``labels``. No valid answers: empty results.
+    Votes are shuffled once, into one row per item with a list of at most one
+    vote of each annotator, and checkpointed. While the annotators are counted
+    to be few enough, a turn is one scan of these rows: the model is a single
+    broadcast row of arrays, and only partial sums by (annotator, answer) are
+    shuffled, however busy one annotator is. Beyond that, each turn joins
+    votes and model by a shuffle. Ties go to the label with more votes, then
+    to the earlier of ``labels``. No valid answers: empty results.
     """
     k = range(len(labels))
-    by_item = W.partitionBy("item_id")
-    base = votes(responses, labels).repartition("item_id")
-    base = cut(base.withColumn("n", F.count("*").over(by_item)))
+    flat = votes(responses, labels)
+    people = cut(flat.groupBy("annotator_id").agg(F.count("*").alias("n_answers")))
+    few = people.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if few:
+        # dense numbers, so that a model row is found by its place in an array
+        numbered = people.withColumn("who", F.row_number().over(W.orderBy("annotator_id")) - 1)
+        voted = flat.join(F.broadcast(numbered.select("annotator_id", "who")), "annotator_id")
+        size = numbered.count()
+    else:
+        numbered = people.withColumn("who", F.col("annotator_id"))
+        voted = flat.withColumn("who", F.col("annotator_id"))
+        size = 0
+    vote = F.struct("who", "label")
+    items = cut(voted.groupBy("item_id").agg(F.array_sort(F.collect_list(vote)).alias("votes")))
+    items = items.withColumn("n", F.size("votes"))
+    tally = [F.size(F.filter("votes", lambda v, t=t: v["label"] == t)).alias(f"n{t}") for t in k]
     prior = [1 / len(labels)] * len(labels)
     model = None
     for turn in range(turns + 1):
+        scored = _scores(items, model, size, len(labels)) if model is not None else items.select("*", *[c.cast("double").alias(f"s{t}") for t, c in enumerate(tally)])
         if model is None:
-            scored = base.select("*", *[F.when(F.col("label") == t, 1.0).otherwise(0.0).alias(f"s{t}") for t in k])
+            held = scored.select("*", *[(F.col(f"s{t}") / F.col("n")).alias(f"p{t}") for t in k])
         else:
-            scored = base.join(broadcast_if_small(model), ["annotator_id", "label"])
-        same = [F.sum(F.when(F.col("label") == t, 1.0).otherwise(0.0)).over(by_item).alias(f"n{t}") for t in k]
-        held = scored.select("item_id", "annotator_id", "label", "n", *[F.sum(f"s{t}").over(by_item).alias(f"s{t}") for t in k], *same)
-        if model is None:
-            held = held.select("*", *[(F.col(f"s{t}") / F.col("n")).alias(f"p{t}") for t in k])
-        else:
-            held = held.select("*", *[p.alias(f"p{t}") for t, p in enumerate(_softmax([F.col(f"s{t}") + F.lit(math.log(max(prior[t], 1e-9))) for t in k]))])
+            held = scored.select("*", *[p.alias(f"p{t}") for t, p in enumerate(_softmax([F.col(f"s{t}") + F.lit(math.log(max(prior[t], 1e-9))) for t in k]))])
         if turn == turns:
             break
-        counts = held.groupBy("annotator_id", "label").agg(*[F.sum(f"p{t}").alias(f"c{t}") for t in k], *[F.sum(F.col(f"p{t}") / F.col("n")).alias(f"q{t}") for t in k], F.count("*").alias("answers"))
+        each = held.select("n", *[f"p{t}" for t in k], F.explode("votes").alias("v")).select("v.who", "v.label", "n", *[f"p{t}" for t in k])
+        counts = each.groupBy("who", "label").agg(*[F.sum(f"p{t}").alias(f"c{t}") for t in k], *[F.sum(F.col(f"p{t}") / F.col("n")).alias(f"q{t}") for t in k], F.count("*").alias("answers"))
         counts = cut(counts)
         row = counts.agg(*[F.sum(f"q{t}") for t in k]).first()
         if row[0] is None:  # no votes at all
             break
         prior = [q / sum(row) for q in row]
         model = _model(counts, labels, alpha, smoothing)
-    best = F.array_max(F.array(*[F.struct(F.round(f"p{t}", 9).alias("p"), F.col(f"n{t}").alias("n"), F.lit(-t).alias("t")) for t in k]))
-    items = held.select("item_id", "n", best.alias("b"), *[f"n{t}" for t in k]).groupBy("item_id", "n", "b").agg(*[F.first(f"n{t}").alias(f"n{t}") for t in k])
-    names, tally = F.array(*map(F.lit, labels)), F.array(*[F.col(f"n{t}") for t in k])
-    items = items.select(
+    best = F.array_max(F.array(*[F.struct(F.round(f"p{t}", 9).alias("p"), tally[t].alias("n"), F.lit(-t).alias("t")) for t in k]))
+    names = F.array(*map(F.lit, labels))
+    found = held.select("item_id", "n", best.alias("b")).select(
         "item_id",
         F.element_at(names, F.lit(1) - F.col("b.t")).alias("answer"),
         F.col("n").cast("int").alias("n_annotators"),
-        (F.element_at(tally, F.lit(1) - F.col("b.t")) / F.col("n")).alias("agreement"),
+        (F.col("b.n") / F.col("n")).alias("agreement"),
         F.col("b.p").alias("confidence"),
     )
     if model is None:
         none = "annotator_id string, n_answers bigint, reliability double, error_bound double, weight double"
-        return items, base.sparkSession.createDataFrame([], none)
+        return found, people.sparkSession.createDataFrame([], none)
     right = sum((F.when(F.col("label") == t, F.exp(F.col(f"s{t}") / F.col("weight")) * prior[t]).otherwise(0.0) for t in k), F.lit(0.0))
-    people = model.groupBy("annotator_id").agg(F.max("n_answers").alias("n_answers"), F.sum(right).alias("reliability"), F.max("weight").alias("weight"))
-    people = people.select("annotator_id", "n_answers", "reliability", F.least(F.lit(1.0), (1 - F.col("reliability")) / F.col("weight")).alias("error_bound"), "weight")
-    return items, people
+    quality = model.groupBy("who").agg(F.sum(right).alias("reliability"), F.max("weight").alias("weight"))
+    quality = numbered.join(quality, "who").select("annotator_id", "n_answers", "reliability", F.least(F.lit(1.0), (1 - F.col("reliability")) / F.col("weight")).alias("error_bound"), "weight")
+    return found, quality
+
+
+def _scores(items: DataFrame, model: DataFrame, size: int, n: int) -> DataFrame:
+    """items with s0, s1, ...: the summed log frequencies of its votes under each label."""
+    if not size:
+        votes_ = items.select("item_id", F.explode("votes").alias("v")).select("item_id", "v.who", "v.label").join(model, ["who", "label"])
+        return items.join(votes_.groupBy("item_id").agg(*[F.sum(f"s{t}").alias(f"s{t}") for t in range(n)]), "item_id")
+    place = F.col("who") * n + F.col("label")
+    rows = {r.place: r for r in model.select(place.alias("place"), *[f"s{t}" for t in range(n)]).collect()}
+    table = [[float(rows[i][f"s{t}"]) if i in rows else 0.0 for i in range(size * n)] for t in range(n)]
+    one = items.sparkSession.createDataFrame([tuple(table)], ", ".join(f"m{t} array<double>" for t in range(n)))
+    total = lambda t: F.aggregate("votes", F.lit(0.0), lambda s, v: s + F.get(F.col(f"m{t}"), v["who"] * n + v["label"]))
+    return items.join(F.broadcast(one)).select(*items.columns, *[total(t).alias(f"s{t}") for t in range(n)])
 
 
 def _model(counts: DataFrame, labels: tuple[str, ...], alpha: float, smoothing: float) -> DataFrame:
-    """(annotator_id, label): weighted log frequency of the answer under each label.
+    """(who, label): weighted log frequency of the answer under each label.
 
     Every annotator gets ``smoothing`` answers a label beforehand, three fifths
     of them right. Answers an annotator never gave have no row and need none.
     """
     k = range(len(labels))
-    mine = W.partitionBy("annotator_id")
+    mine = W.partitionBy("who")
     wrong = 0.4 / (len(labels) - 1)
     rows = counts.withColumn("n_answers", F.sum("answers").over(mine))
     rows = rows.withColumn("weight", _confidence(F.col("n_answers"), alpha))
     frequency = [(F.col(f"c{t}") + F.when(F.col("label") == t, smoothing * 0.6).otherwise(smoothing * wrong)) / (F.sum(f"c{t}").over(mine) + smoothing) for t in k]
-    return rows.select("annotator_id", "label", "n_answers", "weight", *[(F.col("weight") * F.log(f)).alias(f"s{t}") for t, f in enumerate(frequency)])
+    return rows.select("who", "label", "n_answers", "weight", *[(F.col("weight") * F.log(f)).alias(f"s{t}") for t, f in enumerate(frequency)])

@@ -71,7 +71,7 @@ def test_broadcast_and_shuffle_agree(spark, monkeypatch):
     _, rows = crowd(50)
     df = spark.createDataFrame(rows, R)
     one = sorted((r.item_id, r.answer) for r in consensus.estimate(df)[0].collect())
-    monkeypatch.setattr(consensus, "broadcast_if_small", lambda x: x)
+    monkeypatch.setattr(consensus, "BROADCAST_ROWS", 0)
     assert sorted((r.item_id, r.answer) for r in consensus.estimate(df)[0].collect()) == one
 
 
