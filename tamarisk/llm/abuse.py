@@ -35,7 +35,7 @@ _MARKS = regex.compile(r"[ً-ٰٟـ̀-ͯ]+")
 _GAP = regex.compile(r"(?<=\p{L}) {8,}(?=\p{L})|(?<=\p{L})\d{12,}(?=\p{L})")
 _SPELLED = regex.compile(r"(?<![\p{L}\p{N}*])\p{L}(?:[ .\-_*·]{1,2}\p{L}\p{M}*){2,}(?![\p{L}\p{N}*])")
 _LONG = regex.compile(r"(\p{L})\1{2,}")
-_PASSAGE = regex.compile(r"(?<=[.!?؟…])[\"»”)]*\s+|[。！？।።۔]+|[\n\r]+")
+_PASSAGE = regex.compile(r"[!?؟]+[\"»”)]*\s*|(?<=[.…])[\"»”)]*\s+|(?<=[\p{L}--\p{Latin}])\.(?=\p{L}{2})|[。！？।።۔]+|[\n\r]+", regex.V1)
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}*$@']+")
 _SOLID = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}]")
 _FOLD = str.maketrans({"أ": "ا", "إ": "ا", "آ": "ا", "ى": "ي", "ة": "ه", "ؤ": "و", "ئ": "ي", "ё": "е", "’": "'", "@": "a", "$": "s"})
@@ -54,8 +54,8 @@ def clean(text: str) -> str:
 def passages(text: str) -> list[list[str]]:
     """The words of each passage, in windows of bounded length.
 
-    Where a script without blanks meets other words, these are also a passage
-    of their own.
+    Where a script without blanks meets other words, each side is also a
+    passage of its own.
     """
     found = []
     for part in _PASSAGE.split(clean(text).lower().translate(_FOLD)):
@@ -63,8 +63,14 @@ def passages(text: str) -> list[list[str]]:
             continue
         if not part.isalpha():
             words = [w if w.isalpha() or w.isdecimal() else w.translate(_DIGITS) for w in words]
-        spaced = [w for w in words if not _SOLID.search(w)] if _SOLID.search(part) else words
-        for run in (words, spaced) if 3 <= len(spaced) < len(words) else (words,):
+        runs = [words]
+        if _SOLID.search(part):
+            solid = [bool(_SOLID.search(w)) for w in words]
+            if not all(solid):
+                runs += [[w for w, x in zip(words, solid) if x], [w for w, x in zip(words, solid) if not x]]
+        for n, run in enumerate(runs):
+            if n == 2 and len(run) < 3:
+                continue
             for k in range(0, max(1, len(run) - WINDOW // 2), WINDOW // 2):
                 if run[k : k + WINDOW]:
                     found.append(run[k : k + WINDOW])

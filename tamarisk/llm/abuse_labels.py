@@ -262,6 +262,7 @@ Experience with {tool} v{num} is a plus.
 Pay starts at JOD {num} per month, plus transport.
 Send your CV to P.O. Box {num}, {city}.
 You will report to {name} Bros.
+You will report to {name} Co.
 Ask for desk {num} and Ms. {name}.
 "Can you start in June?" is the first thing Mr. {name} will ask.
 The contract lasts {num} months (renewable once).
