@@ -11,7 +11,7 @@ closing quotation and, in Thai and Lao, every blank with these statistics.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,14 +37,19 @@ _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _UNSPACED = regex.compile(r"[\p{Thai}\p{Lao}]")
 _URDU = regex.compile(r"[ںہےٹڈڑگچپھ۔]")
 _FRENCH = regex.compile(r"[éèêàçùœÉÊ]|\b(?:le|la|les|des|une|est|et|pour|du|l'|d')\b", regex.I)
-_SCRIPTS = [(n, regex.compile(rf"\p{{{n}}}")) for n in ("Latin", "Arabic", "Cyrillic", "Devanagari", "Ethiopic", "Hebrew", "Greek", "Armenian", "Hangul", "Bengali", "Thai", "Lao")]
+_SCRIPTS = [(n, regex.compile(rf"\p{{{n}}}+")) for n in ("Latin", "Arabic", "Cyrillic", "Devanagari", "Ethiopic", "Hebrew", "Greek", "Armenian", "Hangul", "Bengali", "Thai", "Lao")]
 _CASED = {"en", "fr", "Cyrillic", "Greek", "Armenian"}
-_UP, _LOW = regex.compile(r"\p{Lu}"), regex.compile(r"\p{Ll}")
+_UP, _LOW = regex.compile(r"\p{Lu}+"), regex.compile(r"\p{Ll}+")
 _CAP_WORD, _LOW_WORD = regex.compile(r"(?<!\p{L})\p{Lu}"), regex.compile(r"(?<!\p{L})\p{Ll}")
 _MIXED = regex.compile(r"\p{Ll}\p{Lu}")
 _WORD_CHAR = regex.compile(r"[\p{L}\p{N}]")
 
 
+def _letters(runs: regex.Pattern, text: str) -> int:
+    """How many characters all matches of a pattern have together."""
+    return sum(map(len, runs.findall(text)))
+
+
 def language(text: str) -> str:
     """A language or script: what the statistics are kept by."""
     if text.isascii():
@@ -56,7 +61,7 @@ def language(text: str) -> str:
         return "ja" if regex.search(r"[\p{Hiragana}\p{Katakana}]", text) else "zh"
     best, most = "Latin", -1
     for name, pattern in _SCRIPTS:
-        if (n := len(pattern.findall(text))) > most:
+        if (n := _letters(pattern, text)) > most:
             best, most = name, n
         if n * 2 > len(text):
             break
@@ -69,7 +74,7 @@ def language(text: str) -> str:
 
 def regular_case(text: str) -> bool:
     """Whether capitals are used as in prose, not for all or none or at random."""
-    up, low = len(_UP.findall(text)), len(_LOW.findall(text))
+    up, low = _letters(_UP, text), _letters(_LOW, text)
     if not up or up * 5 > 2 * (up + low):
         return False
     if len(_MIXED.findall(text)) > 3 + low * 0.01:
@@ -77,9 +82,8 @@ def regular_case(text: str) -> bool:
     return len(_CAP_WORD.findall(text)) < 2 * len(_LOW_WORD.findall(text))
 
 
-_STARTS = regex.compile(rf"(?:^|[\n\r\v\f\x85\u2028\u2029]){_BULLET}(\S+)")
+_ITEM = regex.compile(_BULLET)
 _AFTER_FIRM = regex.compile(rf"[{_FIRM}]+[^\S\n]+(\S+)")
-_PERIODS = regex.compile(r"(\S+)\.(?:[^\S\n\r]+(?=(\S+))|[^\S\n\r]*(?=[\n\r]|\Z))")
 _AFTER_QUOTE = regex.compile(rf"[{_ENDS}][{_CLOSE}]+[^\S\n]*([^\s{_CLOSE}{_ENDS},،、，;]\S*)")
 _CJK_STARTS = regex.compile(r"(?:^|[\n\r]|[。！？])\s*(\p{L}{2})")
 _CHUNKS = regex.compile(r"\S+")
@@ -99,35 +103,48 @@ class Counts:
     """
 
     def __init__(self) -> None:
-        self.raw: Counter = Counter()
-        self.done: Counter = Counter()
+        self.raw: defaultdict[tuple[str, str], Counter] = defaultdict(Counter)  # by (language, kind)
+
+    def __len__(self) -> int:
+        return sum(map(len, self.raw.values()))
 
     def add(self, text: str) -> None:
         lang = language(text)
-        raw = self.raw
         if lang in ("zh", "ja"):
-            raw.update((lang, "S", s, "") for s in _CJK_STARTS.findall(text))
-            raw.update((lang, "C", w[:2], "") for w in _AFTER_QUOTE.findall(text))
+            self.raw[lang, "S"].update(_CJK_STARTS.findall(text))
+            self.raw[lang, "C"].update(w[:2] for w in _AFTER_QUOTE.findall(text))
             return
+        lines = [words for x in _LINE.split(text) if (words := x.split())]
         if lang == "Thai":
-            lines = [_CHUNKS.findall(x) for x in _LINE.split(text)]
-            raw.update((lang, "S", _prefix(c[0]), "") for c in lines if c)
-            raw.update((lang, "S", _prefix(w), "") for w in _AFTER_FIRM.findall(text))
-            raw.update((lang, "T", _prefix(w), "") for c in lines for w in c)
-            raw.pop((lang, "S", "", ""), None)
+            starts, chunks = self.raw[lang, "S"], self.raw[lang, "T"]
+            starts.update(_prefix(words[0]) for words in lines)
+            starts.update(map(_prefix, _AFTER_FIRM.findall(text)))
+            for words in lines:
+                chunks.update(map(_prefix, words))
+            starts.pop("", None)
             return
         kind = "r" if lang not in _CASED or regular_case(text) else "x"
-        raw.update((lang, "T" + kind, w, "") for w in text.split())
-        raw.update((lang, "P" + kind, a, b) for a, b in _PERIODS.findall(text))
+        seen, periods = self.raw[lang, "T" + kind], self.raw[lang, "P" + kind]
+        for words in lines:
+            seen.update(words)
+            last = len(words) - 1
+            periods.update((w[:-1], words[k + 1] if k < last else "") for k, w in enumerate(words) if w[-1] == "." and len(w) > 1)
         if kind == "r":
-            raw.update((lang, "S", w, "") for w in _STARTS.findall(text))
-            raw.update((lang, "S", w, "") for w in _AFTER_FIRM.findall(text))
-            raw.update((lang, "C", w, "") for w in _AFTER_QUOTE.findall(text))
+            firsts = self.raw[lang, "S"]
+            firsts.update(rest[0] for x in _LINE.split(text) if (rest := x[_ITEM.match(x).end() :].split(None, 1)))
+            firsts.update(_AFTER_FIRM.findall(text))
+            self.raw[lang, "C"].update(_AFTER_QUOTE.findall(text))
+
+    def _items(self) -> Iterator[tuple[str, str, str, str, int]]:
+        for (lang, kind), counter in self.raw.items():
+            for key, n in counter.items():
+                a, b = key if kind[0] == "P" else (key, "")
+                yield lang, kind, a, b, n
 
     def flush(self) -> pd.DataFrame:
         """The counts so far with words stripped and folded; starts anew."""
         done: Counter = Counter()
-        for (lang, kind, a, b), n in self.raw.items():
+        for lang, kind, a, b, n in self._items():
             if lang in ("zh", "ja", "Thai"):
                 done[lang, kind, a, b] += n
                 continue
@@ -168,10 +185,10 @@ class Counts:
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts = Counts()
     for batch in batches:
-        for text in batch["text"]:
+        for k, text in enumerate(batch["text"]):
             if text:
                 counts.add(text)
-            if len(counts.raw) > FLUSH_KEYS:
+            if k % 100 == 0 and len(counts) > FLUSH_KEYS:
                 yield counts.flush()
     yield counts.flush()
 
