@@ -74,8 +74,9 @@ def kappa_pairs(rows: DataFrame) -> DataFrame:
 
     (annotator_a, annotator_b, n_items, po, pe, kappa, unclear_rate,
     undefined_reason); kappa is null where chance agreement is complete. The
-    self-join is on the item, whose rows are at most one per annotator; then
-    one aggregation with conditional counts.
+    self-join is on the item, whose rows are at most one per annotator (agreement
+    is defined over pairs, so an item of n annotators has n (n - 1) / 2 of
+    them); then one aggregation with conditional counts.
     """
     last = last_answers(rows).select("item_id", "annotator_id", "answer")
     a = last.select("item_id", F.col("annotator_id").alias("annotator_a"), F.col("answer").alias("x"))

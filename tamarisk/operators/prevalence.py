@@ -1,4 +1,4 @@
-"""Specified analyses: prevalence, accuracy against gold, selection rates."""
+"""Specified analyses: prevalence, accuracy against gold, selection, pools, registers, twins."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tamarisk.functions.text import word_count
+from tamarisk.functions.text import BLANK, word_count
 
 
 def prevalence(docs: DataFrame, cues: DataFrame, by: tuple[str, ...] = ("country", "seniority")) -> DataFrame:
@@ -74,3 +74,70 @@ def inherited(cues: DataFrame, targets: DataFrame, classified: DataFrame) -> Dat
     rows = cues.join(targets, "cue_id", "left").join(classified.select("target_id", F.col("referent").alias("head_referent")), "target_id", "left")
     reason = F.when(F.col("target_id").isNull(), "AB2").when(F.coalesce("head_referent", F.lit("ABSTAIN")) == "ABSTAIN", "AB3")
     return rows.select("cue_id", "target_id", F.when(reason.isNull(), F.col("head_referent")).otherwise("ABSTAIN").alias("referent"), reason.alias("abstain_reason"))
+
+
+def rank_displacement(scores: DataFrame) -> DataFrame:
+    """Per group: how far the twins of a pair are apart in the ranks of their pool.
+
+    scores: pool_id, pair_id, side (f, m), group, score. Ranks count from 1 at
+    the highest score, ties by pair and side. One row per group with the
+    number of pairs, the mean and the quartiles of rank f minus rank m.
+    """
+    rank = F.row_number().over(W.partitionBy("pool_id").orderBy(F.desc("score"), "pair_id", "side"))
+    sides = scores.withColumn("r", rank).groupBy("pool_id", "pair_id", "group").agg(*[F.max(F.when(F.col("side") == s, F.col("r"))).alias(s) for s in ("f", "m")])
+    d = sides.where("f IS NOT NULL AND m IS NOT NULL").withColumn("d", F.col("f") - F.col("m"))
+    return d.groupBy("group").agg(F.count("*").alias("n_pairs"), F.avg("d").alias("mean"), *[F.percentile("d", F.lit(q)).alias(n) for q, n in ((0.25, "lower"), (0.5, "median"), (0.75, "upper"))])
+
+
+def matched_pools(targets: DataFrame, candidates: DataFrame, tolerance: float, size: int, seed: int) -> DataFrame:
+    """(target_id, candidate_id, place): the pool of each target, drawn once for a seed.
+
+    targets: target_id, sd; candidates: candidate_id, sd. A candidate matches
+    within ``tolerance``. The range join is an equi-join of cells as wide as
+    the tolerance, each target looking into three of them. Of the matches the
+    ``size`` first by SHA-256 of seed, target and candidate are taken, which
+    Spark limits before the shuffle. Null sds match nothing.
+    """
+    if tolerance <= 0 or size < 1:
+        raise ValueError("tolerance and size must be positive")
+    cell = F.floor(F.col("sd") / tolerance)
+    t = targets.where("sd IS NOT NULL").select("target_id", F.col("sd").alias("t_sd"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    c = candidates.where("sd IS NOT NULL").select("candidate_id", F.col("sd").alias("c_sd"), cell.alias("cell"))
+    rows = t.join(c, "cell").where(F.abs(F.col("t_sd") - F.col("c_sd")) <= tolerance).select("target_id", "candidate_id")
+    order = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("target_id").cast("string"), F.col("candidate_id").cast("string")), 256)
+    rows = rows.withColumn("h", order).withColumn("place", F.row_number().over(W.partitionBy("target_id").orderBy("h", "candidate_id")))
+    return rows.where(F.col("place") <= size).select("target_id", "candidate_id", "place")
+
+
+def register_violations(docs: DataFrame, cues: DataFrame) -> DataFrame:
+    """(doc_id, register) of documents that break their register's invariant.
+
+    docs: doc_id, register. R1 needs a masculine cue that refers to the
+    applicant, R2 applicant cues of both genders, R3 none; R5 no cue at all.
+    """
+    about = F.col("referent") == "applicant"
+    n = cues.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(about & (F.col("gen") == "m")).alias("m"), F.count_if(about & (F.col("gen") == "f")).alias("f"), F.count_if(about).alias("a"))
+    rows = docs.select("doc_id", "register").distinct().join(n, "doc_id", "left").fillna(0, ["n", "m", "f", "a"])
+    broken = (
+        F.when(F.col("register") == "R1", F.col("m") == 0)
+        .when(F.col("register") == "R2", (F.col("m") == 0) | (F.col("f") == 0))
+        .when(F.col("register") == "R3", F.col("a") > 0)
+        .when(F.col("register") == "R5", F.col("n") > 0)
+        .otherwise(False)
+    )
+    return rows.where(broken).select("doc_id", "register")
+
+
+def twin_differences(pairs: DataFrame, tolerance: int) -> DataFrame:
+    """pair_id with same_word_count, length_delta, within_tolerance, only_f and only_m.
+
+    pairs: pair_id, text_f, text_m. only_f and only_m are the sorted words of
+    one side alone: in a valid pair they are the gendered forms.
+    """
+    words = lambda c: F.filter(F.split(F.regexp_replace(c, f"{BLANK}+", " "), " "), lambda w: w != "")
+    f, m = words(F.col("text_f")), words(F.col("text_m"))
+    delta = F.length("text_f") - F.length("text_m")
+    return pairs.select(
+        "pair_id", (F.size(f) == F.size(m)).alias("same_word_count"), delta.alias("length_delta"), (F.abs(delta) <= tolerance).alias("within_tolerance"),
+        F.array_sort(F.array_except(f, m)).alias("only_f"), F.array_sort(F.array_except(m, f)).alias("only_m"),
+    )

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tamarisk.session import broadcast_if_small
+
 #: Rows of one bucket when a stratum is ranked.
 BUCKET_ROWS = 10_000
 
@@ -59,7 +61,7 @@ def draw(cues: DataFrame, fields: list[str], n: int, seed: int, weights: dict[st
     plan = quotas(cues, fields, n, weights)
     rows = cues.withColumn("error_class", error_class(F.col("token"), weights))
     rows = rows.withColumn("stratum", _key([*fields, "error_class"])).withColumn("h", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256))
-    rows = rows.join(F.broadcast(plan.select("stratum", "take", "available")), "stratum").where("take > 0")
+    rows = rows.join(broadcast_if_small(plan.select("stratum", "take", "available")), "stratum").where("take > 0")
     # buckets of the hash space, counted first: only those up to the quota are sorted
     rows = rows.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("available") / BUCKET_ROWS)))
     rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 2.0**32 * F.col("buckets")))

@@ -607,6 +607,52 @@ def selection_rate_air(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("selection_rate", r6("selection_rate")).withColumn("impact_ratio", r6("impact_ratio")).withColumn("n_chosen", F.col("n_chosen").cast("bigint"))
 
 
+@query("""WITH s AS (SELECT l_suppkey % 50 AS pool_id, l_partkey % 400 AS pair_id, l_linestatus AS side, (l_partkey % 3)::VARCHAR AS "group", sum(l_quantity) AS score FROM lineitem GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY pool_id ORDER BY score DESC, pair_id, "group", side) AS r FROM s),
+d AS (SELECT "group", max(r) FILTER (side = 'F') - max(r) FILTER (side = 'O') AS d FROM r GROUP BY pool_id, pair_id, "group" HAVING count(DISTINCT side) = 2)
+SELECT "group", count(*) AS n_pairs, round(avg(d), 6) AS mean, quantile_cont(d, 0.25) AS lower, quantile_cont(d, 0.5) AS median, quantile_cont(d, 0.75) AS upper FROM d GROUP BY 1""")
+def rank_displacement(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers stand for pools, parts for pairs, line status for the twins' sides."""
+    rows = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 50).alias("pool_id"), (F.col("l_partkey") % 400).alias("pair"), F.col("l_linestatus").alias("s"), (F.col("l_partkey") % 3).cast("string").alias("group")).agg(F.sum(F.col("l_quantity").cast("decimal(20,4)")).alias("score"))
+    rows = rows.select("pool_id", F.struct("pair", "group").alias("pair_id"), F.when(F.col("s") == "F", "f").otherwise("m").alias("side"), "group", "score")
+    return prevalence.rank_displacement(rows).withColumn("mean", r6("mean"))
+
+
+@query("""WITH m AS (SELECT s_suppkey AS target_id, c_custkey AS candidate_id, row_number() OVER (PARTITION BY s_suppkey ORDER BY sha256('9|' || s_suppkey || '|' || c_custkey), c_custkey) AS place
+  FROM supplier JOIN customer ON abs(s_acctbal - c_acctbal) <= 40) SELECT * FROM m WHERE place <= 5""")
+def matched_pools(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers stand for twins, customers for competitors, balances for score sds."""
+    targets = table(spark, d, "supplier").select(F.col("s_suppkey").alias("target_id"), F.col("s_acctbal").alias("sd"))
+    rivals = table(spark, d, "customer").select(F.col("c_custkey").alias("candidate_id"), F.col("c_acctbal").alias("sd"))
+    return prevalence.matched_pools(targets, rivals, 40.0, 5, 9)
+
+
+@query("""WITH d AS (SELECT DISTINCT doc_id, CASE doc_type WHEN 'ad' THEN 'R1' ELSE 'R3' END AS register FROM doc_records),
+n AS (SELECT doc_id, count(*) FILTER (referent = 'applicant' AND gen = 'm') AS m, count(*) FILTER (referent = 'applicant') AS a FROM tagged_cues GROUP BY 1)
+SELECT doc_id, register FROM d LEFT JOIN n USING (doc_id) WHERE CASE register WHEN 'R1' THEN coalesce(m, 0) = 0 ELSE coalesce(a, 0) > 0 END""")
+def register_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Ads are held to the generic masculine, CVs to freedom from agreement."""
+    docs = table(spark, d, "doc_records").select("doc_id", F.when(F.col("doc_type") == "ad", "R1").otherwise("R3").alias("register"))
+    return prevalence.register_violations(docs, table(spark, d, "tagged_cues"))
+
+
+_TWO = r"list_filter(regexp_split_to_array({0}, '[\s\x0b\x1c-\x1f\x{{85}}\pZ]+'), lambda w: w <> '')"
+
+
+@query(f"""WITH p AS (SELECT record_seq // 2 AS pair_id, max(text_norm) FILTER (record_seq % 2 = 0) AS f, max(text_norm) FILTER (record_seq % 2 = 1) AS m FROM doc_records WHERE text_norm IS NOT NULL GROUP BY 1 HAVING count(*) = 2),
+w AS (SELECT *, {_TWO.format("f")} AS a, {_TWO.format("m")} AS b FROM p)
+SELECT pair_id, len(a) = len(b) AS same_word_count, (length(f) - length(m))::INT AS length_delta, abs(length(f) - length(m)) <= 20 AS within_tolerance,
+len(list_distinct(list_filter(a, lambda x: NOT list_contains(b, x))))::INT AS n_only_f, len(list_distinct(list_filter(b, lambda x: NOT list_contains(a, x))))::INT AS n_only_m FROM w""")
+def twin_differences(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbouring records stand for twins."""
+    seq = F.col("record_seq")
+    rows = table(spark, d, "doc_records").where("text_norm IS NOT NULL").groupBy(F.floor(seq / 2).alias("pair_id")).agg(
+        F.count("*").alias("n"), F.max(F.when(seq % 2 == 0, F.col("text_norm"))).alias("text_f"), F.max(F.when(seq % 2 == 1, F.col("text_norm"))).alias("text_m")
+    )
+    out = prevalence.twin_differences(rows.where("n = 2"), 20)
+    return out.select("pair_id", "same_word_count", "length_delta", "within_tolerance", F.size("only_f").alias("n_only_f"), F.size("only_m").alias("n_only_m"))
+
+
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(var_samp(l_quantity), 6) AS variance FROM lineitem GROUP BY 1, 2")
 def cell_variances(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").withColumn("score", F.col("l_quantity"))

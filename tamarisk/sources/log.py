@@ -38,3 +38,37 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     known = F.col("doc_type").isin(*DOC_TYPES)
     bad = F.raise_error(F.concat(F.lit("unknown doc_type: "), F.coalesce("doc_type", F.lit("null")))).cast("string")
     return items.withColumn("doc_type", F.when(known, F.col("doc_type")).otherwise(bad))
+
+
+UNBLINDING = "blind_token string, who string, reason string, at string"
+
+
+class UnblindingLog:
+    """An append-only record of which tokens were unblinded, by whom and why.
+
+    A token can be unblinded once; there is no way back.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def entries(self) -> DataFrame:
+        from pyspark.sql.utils import AnalysisException
+
+        try:
+            return self.spark.read.schema(UNBLINDING).option("mode", "FAILFAST").json(self.path)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], UNBLINDING)
+
+    def append(self, entries: DataFrame) -> None:
+        """Record unblindings; a repeated token or a blank who or reason raises first."""
+        blank = (F.trim(F.coalesce("who", F.lit(""))) == "") | (F.trim(F.coalesce("reason", F.lit(""))) == "")
+        if not entries.where(blank | F.col("blind_token").isNull()).isEmpty():
+            raise ValueError("an unblinding needs a token, a name and a reason")
+        again = entries.groupBy("blind_token").count().where("count > 1").select("blind_token")
+        again = again.unionByName(entries.join(self.entries().select("blind_token"), "blind_token", "left_semi").select("blind_token"))
+        if not again.isEmpty():
+            raise ValueError(f"already unblinded: {again.limit(3).collect()}")
+        entries.select("blind_token", "who", "reason", "at").write.mode("append").json(self.path)

@@ -228,3 +228,27 @@ def test_inheritance(spark):
     heads = spark.createDataFrame([("t1", "applicant"), ("t2", "ABSTAIN")], "target_id string, referent string")
     got = {r.cue_id: (r.referent, r.abstain_reason) for r in prevalence.inherited(cues, targets, heads).collect()}
     assert got == {"c1": ("applicant", None), "c2": ("ABSTAIN", "AB3"), "c3": ("ABSTAIN", "AB2")}
+
+
+def test_pools_against_brute_force(spark):
+    rng = random.Random(8)
+    t = [(k, rng.uniform(-5, 5)) for k in range(12)] + [(99, None)]
+    c = [(k, rng.uniform(-5, 5)) for k in range(300)] + [(999, None)]
+    got = prevalence.matched_pools(spark.createDataFrame(t, "target_id int, sd double"), spark.createDataFrame(c, "candidate_id int, sd double"), 0.7, 4, 3)
+    pools = {}
+    for r in got.collect():
+        pools.setdefault(r.target_id, []).append(r.candidate_id)
+    for k, sd in t[:-1]:
+        near = sorted((hashlib.sha256(f"3|{k}|{i}".encode()).hexdigest(), i) for i, x in c[:-1] if abs(x - sd) <= 0.7)
+        assert sorted(pools.get(k, [])) == sorted(i for _, i in near[:4])
+    with pytest.raises(ValueError):
+        prevalence.matched_pools(got, got, 0.0, 4, 3)
+
+
+def test_registers_and_twins(spark):
+    docs = spark.createDataFrame([("a", "R1"), ("b", "R1"), ("c", "R2"), ("d", "R3"), ("e", "R5"), ("f", "R2")], "doc_id string, register string")
+    cues = spark.createDataFrame([("a", "applicant", "m"), ("b", "applicant", "f"), ("c", "applicant", "m"), ("d", "applicant", "f"), ("e", "non_applicant", "f"), ("f", "applicant", "m"), ("f", "applicant", "f")], "doc_id string, referent string, gen string")
+    assert sorted(r.doc_id for r in prevalence.register_violations(docs, cues).collect()) == ["b", "c", "d", "e"]
+    pair = spark.createDataFrame([(1, "حاصلة على شهادة", "حاصل  على شهادة")], "pair_id int, text_f string, text_m string")
+    r = prevalence.twin_differences(pair, 1).first()
+    assert (r.same_word_count, r.length_delta, r.within_tolerance, r.only_f, r.only_m) == (True, 0, True, ["حاصلة"], ["حاصل"])

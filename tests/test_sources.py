@@ -64,6 +64,17 @@ def test_log_is_append_only(spark, tmp_path):
         store.responses().collect()
 
 
+def test_unblinding_is_logged_once(spark, tmp_path):
+    book = log.UnblindingLog(spark, str(tmp_path / "book"))
+    row = lambda *x: spark.createDataFrame([(*x, "2024-01-01")], log.UNBLINDING)
+    assert book.entries().count() == 0
+    book.append(row("t1", "me", "analysis"))
+    for bad in (("t1", "you", "again"), ("t2", " ", "x"), ("t2", "me", None), (None, "me", "x")):
+        with pytest.raises(ValueError):
+            book.append(row(*bad))
+    assert [r.blind_token for r in book.entries().collect()] == ["t1"]
+
+
 def test_items(spark, tmp_path):
     path = tmp_path / "items.jsonl"
     path.write_text(json.dumps({"item_id": "i", "sentence": "s", "cue_start": 0, "cue_end": 1, "doc_type": "ad"}) + "\n")
