@@ -85,9 +85,11 @@ def test_known_truth_is_recovered(spark):
 
 
 def test_level_effects_cancel_and_interactions_inflate(spark):
-    plain = variance.inflation(generated(spark, 40, 50, sd_ad=3.0, sd_pair=3.0, seed=1)).first()[0]
+    """Level effects don't enter a difference, so errors are not inflated on average; one design alone scatters."""
+    plain = [variance.inflation(generated(spark, 40, 50, sd_ad=3.0, sd_pair=3.0, seed=k)).first()[0] for k in range(20)]
     strong = variance.inflation(generated(spark, 40, 50, sd_ad_gender=0.8, sd_pair_gender=0.8, seed=23)).first()[0]
-    assert 0.7 < plain < 1.4 < 2 < strong
+    assert fmean(plain) == pytest.approx(1, abs=0.1)
+    assert strong > 2
 
 
 def test_generator_ignores_partitions(spark):
