@@ -38,7 +38,8 @@ _LONG = regex.compile(r"(\p{L})\1{2,}")
 _PASSAGE = regex.compile(r"[!?؟]+[\"»”)]*\s*|(?<=[.…])[\"»”)]*\s+|(?<=[\p{L}--\p{Latin}])\.(?=\p{L}{2})|[。！？।።۔]+|[\n\r]+", regex.V1)
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}*$@']+")
 _SOLID = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}]")
-_FOLD = str.maketrans({"أ": "ا", "إ": "ا", "آ": "ا", "ى": "ي", "ة": "ه", "ؤ": "و", "ئ": "ي", "ё": "е", "’": "'", "@": "a", "$": "s"})
+_FOLD = (("أ", "ا"), ("إ", "ا"), ("آ", "ا"), ("ى", "ي"), ("ة", "ه"), ("ؤ", "و"), ("ئ", "ي"), ("ё", "е"), ("’", "'"), ("@", "a"), ("$", "s"))
+_LEET = regex.compile(r"[013457]")
 _DIGITS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"})
 
 
@@ -58,10 +59,13 @@ def passages(text: str) -> list[list[str]]:
     passage of its own.
     """
     found = []
-    for part in _PASSAGE.split(clean(text).lower().translate(_FOLD)):
+    text = clean(text).lower()
+    for letter, plain in _FOLD:
+        text = text.replace(letter, plain)
+    for part in _PASSAGE.split(text):
         if not part or not (words := _TOKEN.findall(part)):
             continue
-        if not part.isalpha():
+        if _LEET.search(part):
             words = [w if w.isalpha() or w.isdecimal() else w.translate(_DIGITS) for w in words]
         runs = [words]
         if _SOLID.search(part):
