@@ -25,6 +25,7 @@ from tamarisk.llm.proportional import BLANK, stripped
 from tamarisk.session import BROADCAST_ROWS, cut
 
 LABELS = ("applicant", "non_applicant", "unclear")
+MODEL = "who int, label int, n_answers bigint, weight double, {}"
 
 
 def _lower_gamma(a: float, x: float) -> float:
@@ -112,10 +113,11 @@ def estimate(responses: DataFrame, labels: tuple[str, ...] = LABELS, turns: int
 
     Votes are shuffled once, into one row per item with a list of at most one
     vote of each annotator, and checkpointed. While the annotators are counted
-    to be few enough, a turn is one scan of these rows: the model is a single
-    broadcast row of arrays, and only partial sums by (annotator, answer) are
-    shuffled, however busy one annotator is. Beyond that, each turn joins
-    votes and model by a shuffle. Ties go to the label with more votes, then
+    to be at most BROADCAST_ROWS, a turn is one scan of these rows: the model,
+    a row for each annotator and answer, is made on the driver and broadcast
+    as a single row of arrays, and only partial sums by (annotator, answer)
+    are shuffled, however busy one annotator is. Beyond that, the model stays
+    a checkpointed table and each turn joins votes and model by a shuffle. Ties go to the label with more votes, then
     to the earlier of ``labels``. No valid answers: empty results.
     """
     k = range(len(labels))
@@ -147,11 +149,18 @@ def estimate(responses: DataFrame, labels: tuple[str, ...] = LABELS, turns: int
             break
         each = held.select("n", *[f"p{t}" for t in k], F.explode("votes").alias("v")).select("v.who", "v.label", "n", *[f"p{t}" for t in k])
         counts = each.groupBy("who", "label").agg(*[F.sum(f"p{t}").alias(f"c{t}") for t in k], *[F.sum(F.col(f"p{t}") / F.col("n")).alias(f"q{t}") for t in k], F.count("*").alias("answers"))
-        counts = cut(counts)
-        row = counts.agg(*[F.sum(f"q{t}") for t in k]).first()
-        if row[0] is None:  # no votes at all
+        if few:  # at most BROADCAST_ROWS annotators, so the model is made on the driver
+            rows = counts.collect()
+            total = [sum(r[f"q{t}"] for r in rows) for t in k]
+        else:
+            counts = cut(counts)
+            total = counts.agg(*[F.sum(f"q{t}") for t in k]).first()
+        if not total[0] and not sum(x or 0 for x in total):  # no votes at all
             break
-        prior = [q / sum(row) for q in row]
+        prior = [q / sum(total) for q in total]
+        if few:
+            model = items.sparkSession.createDataFrame(_model_rows(rows, len(labels), alpha, smoothing), MODEL.format(", ".join(f"s{t} double" for t in k)))
+            continue
         model = _model(counts, labels, alpha, smoothing)
     best = F.array_max(F.array(*[F.struct(F.round(f"p{t}", 9).alias("p"), tally[t].alias("n"), F.lit(-t).alias("t")) for t in k]))
     names = F.array(*map(F.lit, labels))
@@ -184,6 +193,25 @@ def _scores(items: DataFrame, model: DataFrame, size: int, n: int) -> DataFrame:
     return items.join(F.broadcast(one)).select(*items.columns, *[total(t).alias(f"s{t}") for t in range(n)])
 
 
+def _model_rows(counts: list, n: int, alpha: float, smoothing: float) -> list[tuple]:
+    """What :func:`_model` gives, from rows on the driver."""
+    answers: dict = {}
+    under: dict = {}
+    for r in counts:
+        answers[r.who] = answers.get(r.who, 0) + r.answers
+        sums = under.setdefault(r.who, [0.0] * n)
+        for t in range(n):
+            sums[t] += r[f"c{t}"]
+    weight = {m: chi2_quantile(alpha / 2, m) / m for m in set(answers.values())}
+    wrong = 0.4 / (n - 1)
+    out = []
+    for r in counts:
+        w = weight[answers[r.who]]
+        logs = [math.log((r[f"c{t}"] + smoothing * (0.6 if r.label == t else wrong)) / (under[r.who][t] + smoothing)) for t in range(n)]
+        out.append((r.who, r.label, answers[r.who], w, *(w * x for x in logs)))
+    return out
+
+
 def _model(counts: DataFrame, labels: tuple[str, ...], alpha: float, smoothing: float) -> DataFrame:
     """(who, label): weighted log frequency of the answer under each label.
 
