@@ -75,6 +75,16 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return formatdup.collapsed(table(spark, d, "doc_records")).withColumnRenamed("record_id", "doc_id")
 
 
+def p5_text_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs that agree as running text; p5_found adds those that agree as lists."""
+    return formatdup.pairs(table(spark, d, "doc_records"), kinds=("text",))
+
+
+def p5_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Sums over the records: none of the ids and deliveries is lost."""
+    return formatdup.collapsed(table(spark, d, "doc_records")).agg(F.sum("n_copies").alias("n_ids"), F.sum("n_rows").alias("n_rows"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
@@ -104,7 +114,7 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
     return abuse.source_rates(_p8(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_items, p2_annotators, p3_found, p4_sample, p4_sizes, p5_found, p5_records, p6_ids, p7_containers, p7_fill, p8_found, p8_scores, p8_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_items, p2_annotators, p3_found, p4_sample, p4_sizes, p5_found, p5_text_pairs, p5_records, p5_totals, p6_ids, p7_containers, p7_fill, p8_found, p8_scores, p8_sources)}
 
 _STRIP = r"lower(regexp_replace({}, '^[\s\x1c-\x1f\x{{85}}\pZ]+|[\s\x1c-\x1f\x{{85}}\pZ]+$', '', 'g'))"
 _P1 = f"""
@@ -128,7 +138,15 @@ WITH reg AS (SELECT DISTINCT cue_id, ('0x' || substr(sha256(cue_id), 1, 13))::BI
 plan AS (SELECT DISTINCT plan_id, rate, {_START} AS a FROM sampling_plans),
 held AS (SELECT cue_id, plan_id FROM reg, plan WHERE prn - a + (CASE WHEN prn < a THEN 1 ELSE 0 END) < rate)
 """
+# letters, marks and digits; invisible ones among them listed, as RE2 has no property for them
+_PLAIN = r"""regexp_replace(text_raw, '[^\pL\pM\pN]+|[\x{34F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180D}\x{180F}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}\x{E0100}-\x{E01EF}]+', '', 'g')"""
+_P5 = f"""
+WITH plain AS (SELECT DISTINCT doc_id, nfc_normalize(replace(replace(lower(nfc_normalize({_PLAIN})), 'ß', 'ss'), 'ς', 'σ')) AS t
+               FROM doc_records WHERE doc_id IS NOT NULL AND text_raw IS NOT NULL)
+"""
 ORACLES = {
+    "p5_text_pairs": _P5 + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM plain a JOIN plain b ON a.t = b.t AND a.doc_id < b.doc_id WHERE a.t <> ''",
+    "p5_totals": "SELECT count(DISTINCT doc_id) AS n_ids, count(doc_id)::BIGINT AS n_rows FROM doc_records",
     "p1_found": _P1 + "SELECT plan_id, category FROM cells WHERE available < greatest(target, min_rows)",
     "p1_report": _P1
     + """SELECT plan_id, category, target, min_rows, available,

@@ -92,12 +92,17 @@ TEXT = ["Café (open)!", "café OPEN", "CAFÉ​\tOpen..."]
 MARKS = ["مُهندس", "مهندس", "مهندسة", "مهندسه"]
 
 
+NESTED = ['{"a": {"x": "1", "y": "2"}, "b": "3"}', "{ 'B' : 3, 'A' : { 'Y' : 2, 'X' : 1 } }", "b: 3\na: {y: 2, x: 1}"]
+ARRAYS = ['{"jobs": [{"at": "Giza", "no": 1}, {"at": "Cairo", "no": 2}], "name": "N"}', '{"name": "n", "jobs": [{"no": 1, "at": "giza"}, {"no": 2, "at": "cairo"}]}', '{"jobs": [{"at": "Cairo", "no": 2}, {"at": "Giza", "no": 1}], "name": "N"}']
+LONG = ["Years of relevant professional work experience: 5 / City: Cairo".replace(" / ", "\n"), "City: Cairo\nYears of relevant professional work experience: 5", f"{'long label ' * 40}: 1; b: 2", f"b: 2; {'LONG label ' * 40}= 1"]
+
+
 def test_formatting_disappears(spark):
     texts = SAME + OTHER + TEXT + MARKS + ["", None, "...", "???", "x" * 300_000, "X" * 300_000 + "!"]
     df = spark.createDataFrame([(f"d{k:02d}", t, "clash", 1) for k, t in enumerate(texts)], "doc_id string, text_raw string, id string, n_rows int")
     df = df.union(df.limit(3)).repartition(5)
     got = {tuple(r) for r in formatdup.pairs(df).collect()}
-    trees = {f"d{k:02d}": formatdup.structure(t) for k, t in enumerate(texts)}
+    trees = {f"d{k:02d}": formatdup.tree(t, formatdup.Trees()) for k, t in enumerate(texts)}
     agree = lambda x, y: any(p is not None and p == q for p, q in zip(x, y))
     assert got == {(a, b) for a, b in itertools.combinations(sorted(trees), 2) if agree(trees[a], trees[b])}
     listed = [f"d{k:02d}" for k in (0, 1, 2, 3, 5)]
@@ -109,12 +114,39 @@ def test_formatting_disappears(spark):
     assert formatdup.pairs(df.where("false")).count() == formatdup.collapsed(df.where("false")).count() == 0
 
 
-def test_digests_need_full_agreement(spark, monkeypatch):
-    """Records whose digests collide are told apart by their trees."""
-    df = spark.createDataFrame([("a", "one"), ("b", "One!"), ("c", "two")], "doc_id string, text_raw string")
-    merged = spark.createDataFrame([("text", b"x", k, "a") for k in "abc"], "kind string, root binary, id string, first_id string")
-    monkeypatch.setattr(formatdup, "groups", lambda ids: merged)
-    assert [tuple(r) for r in formatdup.pairs(df).collect()] == [("a", "b")]
+def test_lists_of_any_depth_and_label():
+    for build in (formatdup.Digests(), formatdup.Trees()):
+        as_list = lambda t: formatdup.tree(t, build)[1]
+        assert as_list(NESTED[0]) and len({as_list(t) for t in NESTED}) == 1
+        one, two, other = map(as_list, ARRAYS)
+        assert one == two != other  # objects are unordered, arrays aren't
+        assert as_list(LONG[0]) == as_list(LONG[1]) is not None and as_list(LONG[2]) == as_list(LONG[3]) is not None
+        assert as_list('{"a": {"x": "1"}, "b": "3"}') != as_list('{"b": {"x": "1"}, "a": "3"}')
+        assert as_list("{" + '"a": {' * 50_000 + '"b": "1", "c": "2"' + "}" * 50_001)  # no recursion
+        for broken in ('{"a": 1, "b"', '{"a": {"x": 1}, "b": 2]', "{,}", '{"a": 1 "b": 2', "{" * 1000, "a: {b: 1\nc: 2}}\nd: 3"):
+            formatdup.tree(broken, build)
+
+
+def test_digests_need_full_agreement(spark):
+    """With digests of one byte most records collide; whole trees tell them apart."""
+    data = [(f"d{k:04d}", f"text {k // 2}" + "!" * (k % 2)) for k in range(1200)]
+    data += [(f"e{k:04d}", f"a: {k // 2}\nb: 1" if k % 2 else f"b: 1\na: {k // 2}") for k in range(600)]
+    df = spark.createDataFrame(data, "doc_id string, text_raw string")
+    got = sorted(tuple(r) for r in formatdup.pairs(df, size=1).collect())
+    assert got == [(f"{c}{k:04d}", f"{c}{k + 1:04d}") for c, n in (("d", 1200), ("e", 600)) for k in range(0, n, 2)]
+    assert {r.n_copies for r in formatdup.collapsed(df, size=1).collect()} == {2}
+
+
+def test_hot_groups_are_split(spark, monkeypatch):
+    from tamarisk import session
+
+    data = [(f"d{k:03d}", "Same text" + "!" * (k % 7)) for k in range(150)] + [("solo", "other"), ("d000", "Same; text")]
+    df = spark.createDataFrame(data, "doc_id string, text_raw string")
+    want = set(itertools.combinations([f"d{k:03d}" for k in range(150)], 2))
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(session, "HOT_ROWS", 20)
+    assert {tuple(r) for r in formatdup.pairs(df, block=10).collect()} == want
+    assert {r.record_id: (r.n_copies, r.n_rows) for r in formatdup.collapsed(df).collect()} == {"d000": (150, 151), "solo": (1, 1)}
 
 
 CORPUS = [
