@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest number of rows that any operator broadcasts or brings to the driver.
 BROADCAST_ROWS = 100_000
+#: Rows of one key from which a join splits the key over several tasks.
+HOT_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,3 +53,24 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     Without the hint the planner joins by a shuffle, so any size works.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def join_split(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "inner", hot_rows: int | None = None) -> DataFrame:
+    """left joined with right, a key with very many rows on the left split over several tasks.
+
+    ``right`` has few rows for each key. A right side counted to be small is
+    broadcast. Else keys with more than ``hot_rows`` rows are counted (with
+    partial sums, so no task sees a whole key); there are at most rows /
+    hot_rows of them, and that list is broadcast after a count. Their rows on
+    the left are spread by the hash of ``spread``, those on the right repeated.
+    ``how`` is inner, left, left_semi or left_anti.
+    """
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), keys, how)
+    hot_rows = hot_rows or HOT_ROWS
+    hot = cut(left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).withColumn("_parts", F.ceil(F.col("_n") / hot_rows).cast("int")).drop("_n"))
+    hot = broadcast_if_small(hot)
+    one = F.coalesce(F.col("_parts"), F.lit(1))
+    left = left.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(spread), one).cast("int")).drop("_parts")
+    right = right.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), one - 1))).drop("_parts")
+    return left.join(right, [*keys, "_part"], how).drop("_part")
