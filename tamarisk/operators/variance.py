@@ -1,7 +1,8 @@
 """Two-way variance components and cluster-robust standard errors.
 
-Input: ad_id, pair_id, difference, one row per cell. Sums are over decimals,
-so results don't depend on the order of rows.
+Input: ad_id, pair_id, difference, one row per cell; any scale. The source is
+scanned once: cells are checked for repeats while they are combined, and one
+aggregation over grouping sets gives the sums of ads, of pairs and of all.
 """
 
 from __future__ import annotations
@@ -12,36 +13,63 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamarisk.session import cut
+
 #: How intervals name their clustering.
 CLUSTERING = "two-way clustered by ad and pair"
-
-
-def _sum(c: Column | str) -> Column:
-    return F.sum((F.col(c) if isinstance(c, str) else c).cast("decimal(38,18)")).cast("double")
-
-
-def _margins(d: DataFrame) -> tuple[DataFrame, DataFrame]:
-    ads = d.groupBy("ad_id").agg(_sum("difference").alias("ad_sum"), F.count("*").alias("ad_n"))
-    pairs = d.groupBy("pair_id").agg(_sum("difference").alias("pair_sum"), F.count("*").alias("pair_n"))
-    return ads, pairs
+#: A sum of variances below this share of its terms is rounding error, not positive.
+ROUNDING = 1e-12
 
 
 @dataclass(frozen=True)
 class Design:
+    """Counts, mean and sum of squared deviations, and the sums by ad and by pair."""
+
     n: int
     n_ads: int
     n_pairs: int
     mean: float
+    ss: float
+    margins: DataFrame  # (g, total, n): g is 1 for an ad, 2 for a pair
+
+    @property
+    def naive(self) -> float:
+        """sd / sqrt(n)."""
+        return math.sqrt(self.ss / (self.n - 1) / self.n) if self.n > 1 else 0.0
+
+    def squares(self, of: Column) -> tuple[float, float]:
+        """The sums of ``of`` squared over the ads and over the pairs."""
+        got = {r[0]: r[1] for r in self.margins.where("g < 3").groupBy("g").agg(F.sum(of * of)).collect()}
+        return got[1], got[2]
 
 
 def design(d: DataFrame) -> Design:
-    """Counts and mean; repeated cells are an error."""
-    row = d.agg(F.count("*"), F.count_distinct("ad_id"), F.count_distinct("pair_id"), F.count_distinct("ad_id", "pair_id"), _sum("difference")).first()
-    if not row[0]:
+    """The design's sums; repeated cells and nulls are errors.
+
+    Only a row for each ad and pair is kept, not the cells; the sum of squares
+    is the central moment that Spark merges without cancellation.
+    """
+    cells = d.groupBy("ad_id", "pair_id").agg(F.count("*").alias("k"), F.sum(F.col("difference").cast("double")).alias("x"))
+    g = F.grouping_id()
+    sums = [F.sum("x").alias("total"), F.count("*").alias("n"), F.max("k").alias("most"), (F.var_pop("x") * F.count("*")).alias("ss"), F.avg("x").alias("mean")]
+    blank = F.max(F.col("ad_id").isNull() | F.col("pair_id").isNull() | F.col("x").isNull()).alias("blank")
+    margins = cut(cells.groupingSets([["ad_id"], ["pair_id"], []], "ad_id", "pair_id").agg(g.alias("g"), blank, *sums))
+    rows = margins.groupBy("g").agg(F.count("*").alias("groups"), F.max("n").alias("n"), F.max("most").alias("most"), F.max("ss").alias("ss"), F.max("mean").alias("mean"), F.max("total").alias("total"))
+    found = {r.g: r for r in rows.collect()}
+    if 3 not in found or not found[3].n:
         raise ValueError("no differences")
-    if row[3] != row[0]:
+    if not margins.where("blank").isEmpty():
+        raise ValueError("an id or a difference is null")
+    if found[3].most > 1:
         raise ValueError("a cell (ad, pair) occurs twice")
-    return Design(row[0], row[1], row[2], row[4] / row[0])
+    one = found[3]
+    return Design(one.n, found[1].groups, found[2].groups, one.mean, one.ss, margins)
+
+
+def _row(d: DataFrame, **values: float | int | str) -> DataFrame:
+    """One row of literals, as a plan without Python."""
+    kind = {float: "double", int: "bigint", str: "string"}
+    return d.sparkSession.range(0, 1, 1, 1).select(*[F.lit(v).cast(kind[type(v)]).alias(k) for k, v in values.items()])
 
 
 def components(d: DataFrame) -> DataFrame:
@@ -51,19 +79,20 @@ def components(d: DataFrame) -> DataFrame:
         raise ValueError("the design needs two ads and two pairs")
     if g.n != g.n_ads * g.n_pairs:
         raise ValueError("the design isn't balanced: a cell is missing")
-    ads, pairs = _margins(d)
-    ad_ss = ads.agg(_sum(F.pow(F.col("ad_sum") / g.n_pairs - g.mean, 2)).alias("ss_ad"))
-    pair_ss = pairs.agg(_sum(F.pow(F.col("pair_sum") / g.n_ads - g.mean, 2)).alias("ss_pair"))
-    total = d.agg(_sum(F.pow(F.col("difference") - g.mean, 2)).alias("ss"))
-    one = ad_ss.join(pair_ss).join(total)
-    ms_ad = g.n_pairs * F.col("ss_ad") / (g.n_ads - 1)
-    ms_pair = g.n_ads * F.col("ss_pair") / (g.n_pairs - 1)
-    resid = (F.col("ss") - g.n_pairs * F.col("ss_ad") - g.n_ads * F.col("ss_pair")) / ((g.n_ads - 1) * (g.n_pairs - 1))
-    clip = lambda c: F.greatest(F.lit(0.0), c)
-    return one.select(
-        clip((ms_ad - resid) / g.n_pairs).alias("sigma2_ad"), clip((ms_pair - resid) / g.n_ads).alias("sigma2_cv"), clip(resid).alias("sigma2_resid"),
-        F.lit(g.n_ads).cast("bigint").alias("n_ads"), F.lit(g.n_pairs).cast("bigint").alias("n_pairs"),
-    )
+    ss_ad, ss_pair = g.squares(F.col("total") / F.col("n") - g.mean)
+    rest = g.ss - g.n_pairs * ss_ad - g.n_ads * ss_pair
+    resid = (rest if rest > ROUNDING * g.ss else 0.0) / ((g.n_ads - 1) * (g.n_pairs - 1))
+    s_ad = max(0.0, (g.n_pairs * ss_ad / (g.n_ads - 1) - resid) / g.n_pairs)
+    s_cv = max(0.0, (g.n_ads * ss_pair / (g.n_pairs - 1) - resid) / g.n_ads)
+    return _row(d, sigma2_ad=s_ad, sigma2_cv=s_cv, sigma2_resid=resid, n_ads=g.n_ads, n_pairs=g.n_pairs)
+
+
+def _robust(g: Design) -> tuple[float, bool]:
+    """The cluster-robust standard error, and whether it is the two-way estimate."""
+    va, vp = g.squares(F.col("total") - F.col("n") * g.mean)
+    both = va + vp - g.ss
+    two_way = both > ROUNDING * (va + vp + g.ss)
+    return math.sqrt(both if two_way else max(va, vp)) / g.n, two_way
 
 
 def cluster_robust(d: DataFrame) -> DataFrame:
@@ -74,18 +103,9 @@ def cluster_robust(d: DataFrame) -> DataFrame:
     that isn't positive, the larger of V_ad and V_pair, which is said.
     """
     g = design(d)
-    ads, pairs = _margins(d)
-    va = ads.agg(_sum(F.pow(F.col("ad_sum") - F.col("ad_n") * g.mean, 2)).alias("va"))
-    vp = pairs.agg(_sum(F.pow(F.col("pair_sum") - F.col("pair_n") * g.mean, 2)).alias("vp"))
-    vc = d.agg(_sum(F.pow(F.col("difference") - g.mean, 2)).alias("vc"))
-    one = va.join(vp).join(vc)
-    both = F.col("va") + F.col("vp") - F.col("vc")
-    v = F.when(both > 0, both).otherwise(F.greatest("va", "vp")) / float(g.n) ** 2
-    name = F.when(both > 0, CLUSTERING).otherwise(CLUSTERING + ", larger one-way variance (two-way estimate not positive)")
-    return one.select(
-        F.lit(g.mean).alias("mean_difference"), F.sqrt(v).alias("se"), F.lit(g.n).cast("bigint").alias("n"),
-        F.lit(g.n_ads).cast("bigint").alias("n_ads"), F.lit(g.n_pairs).cast("bigint").alias("n_pairs"), name.alias("clustering"),
-    )
+    se, two_way = _robust(g)
+    name = CLUSTERING if two_way else CLUSTERING + ", larger one-way variance (two-way estimate not positive)"
+    return _row(d, mean_difference=g.mean, se=se, n=g.n, n_ads=g.n_ads, n_pairs=g.n_pairs, clustering=name)
 
 
 def naive_se(d: DataFrame) -> DataFrame:
@@ -95,8 +115,10 @@ def naive_se(d: DataFrame) -> DataFrame:
 
 def inflation(d: DataFrame) -> DataFrame:
     """One row: the cluster-robust over the naive standard error."""
-    one = cluster_robust(d).select("se").join(naive_se(d))
-    return one.select(F.when(F.col("naive_se") > 0, F.col("se") / F.col("naive_se")).otherwise(F.raise_error(F.lit("the naive standard error is 0")).cast("double")).alias("se_inflation"))
+    g = design(d)
+    if not g.naive > 0:
+        raise ValueError("the naive standard error is 0")
+    return _row(d, se_inflation=_robust(g)[0] / g.naive)
 
 
 def predicted_se(s_ad: Column, s_cv: Column, s_res: Column, n_ads: Column, n_pairs: Column) -> Column:

@@ -460,6 +460,23 @@ def se_inflation(spark: SparkSession, d: str) -> DataFrame:
     return variance.inflation(_differences(spark, d)).select(r6("se_inflation").alias("se_inflation"))
 
 
+_SCALES = (1e-12, 1e-6, 1e6, 1e12)
+
+
+@query(_DIFF + f"""SELECT k AS scale, round(greatest(0, (msa - res) / np), 6) AS sigma2_ad, round(greatest(0, (msp - res) / na), 6) AS sigma2_cv, round(greatest(0, res), 6) AS sigma2_resid,
+round(sqrt(v), 6) AS se, two AS two_way, round(sqrt(v) / (sd / sqrt(n)), 6) AS se_inflation FROM c, (SELECT unnest([{", ".join(f"{k}::DOUBLE" for k in _SCALES)}]) AS k)""")
+def variance_scales(spark: SparkSession, d: str) -> DataFrame:
+    """Components, errors and inflation of the differences times a scale, divided by it again."""
+    rows, out = _differences(spark, d), None
+    for k in _SCALES:
+        scaled = rows.withColumn("difference", F.col("difference") * k)
+        parts = variance.components(scaled).select(*[r6(F.col(c) / k / k).alias(c) for c in ("sigma2_ad", "sigma2_cv", "sigma2_resid")])
+        error = variance.cluster_robust(scaled).select(r6(F.col("se") / k).alias("se"), (F.col("clustering") == variance.CLUSTERING).alias("two_way"))
+        one = parts.join(error).join(variance.inflation(scaled).select(r6("se_inflation").alias("se_inflation"))).withColumn("scale", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _N_ADS = "SELECT unnest([5, 10, 20, 40, 80, 160]) AS n_ads"
 
 

@@ -60,7 +60,21 @@ def test_cluster_robust_against_brute_force(spark):
     assert "not positive" in variance.cluster_robust(cells(spark, flat)).first().clustering
 
 
+@pytest.mark.parametrize("scale", [1e-12, 1e-9, 1e9, 1e12])
+def test_any_scale(spark, scale):
+    rng = random.Random(3)
+    data = [(f"a{a}", f"p{p}", a * 0.3 + p * 0.2 + rng.gauss(0, 1)) for a in range(6) for p in range(5)]
+    one, other = cells(spark, data), cells(spark, [(a, p, x * scale) for a, p, x in data])
+    for f, power in ((variance.cluster_robust, 1), (variance.components, 2), (variance.inflation, 0)):
+        x, y = f(one).first().asDict(), f(other).first().asDict()
+        for k, v in x.items():
+            assert y[k] == (v if isinstance(v, (int, str)) else pytest.approx(v * (scale if k == "mean_difference" else scale**power), rel=1e-9))
+
+
 def test_designs_are_checked(spark):
+    for missing in (("a", None, 1.0), (None, "p", 1.0), ("a", "p", None)):
+        with pytest.raises(ValueError, match="null"):
+            variance.design(cells(spark, [("b", "q", 1.0), missing]))
     with pytest.raises(ValueError, match="balanced"):
         variance.components(cells(spark, [("a", "p", 1.0), ("a", "q", 2.0), ("b", "p", 3.0)]))
     with pytest.raises(ValueError, match="two"):
