@@ -44,6 +44,17 @@ def p2_annotators(spark: SparkSession, d: str) -> DataFrame:
     return _p2(spark, d)[1]
 
 
+def p2_votes(spark: SparkSession, d: str) -> DataFrame:
+    """The answers that count: one row per item and annotator."""
+    labels = F.array(*map(F.lit, consensus.LABELS))
+    return consensus.votes(table(spark, d, "annotation_responses")).select("item_id", "annotator_id", F.element_at(labels, F.col("label") + 1).alias("answer"))
+
+
+def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Items and answers by the number of annotators, from the consensus itself."""
+    return _p2(spark, d)[0].groupBy("n_annotators").agg(F.count("*").alias("n_items"), F.count("answer").alias("n_labelled"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     docs, cues = table(spark, d, "doc_records"), table(spark, d, "tagged_cues")
     model = sentences.learn(docs.select(F.col("text_norm").alias("text")))
@@ -114,7 +125,7 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
     return abuse.source_rates(_p8(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_items, p2_annotators, p3_found, p4_sample, p4_sizes, p5_found, p5_text_pairs, p5_records, p5_totals, p6_ids, p7_containers, p7_fill, p8_found, p8_scores, p8_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_items, p2_annotators, p2_votes, p2_coverage, p3_found, p4_sample, p4_sizes, p5_found, p5_text_pairs, p5_records, p5_totals, p6_ids, p7_containers, p7_fill, p8_found, p8_scores, p8_sources)}
 
 _STRIP = r"lower(regexp_replace({}, '^[\s\x1c-\x1f\x{{85}}\pZ]+|[\s\x1c-\x1f\x{{85}}\pZ]+$', '', 'g'))"
 _P1 = f"""
@@ -144,7 +155,15 @@ _P5 = f"""
 WITH plain AS (SELECT DISTINCT doc_id, nfc_normalize(replace(replace(lower(nfc_normalize({_PLAIN})), 'ß', 'ss'), 'ς', 'σ')) AS t
                FROM doc_records WHERE doc_id IS NOT NULL AND text_raw IS NOT NULL)
 """
+_P2 = f"""
+WITH said AS (SELECT item_id, annotator_id, coalesce(seq, -9223372036854775807) AS seq,
+    list_position(['applicant', 'non_applicant', 'unclear'], regexp_replace({_STRIP.format("answer")}, '(?:[\\s\\x1c-\\x1f\\x{{85}}\\pZ]|[-_‐-―])+', '_', 'g')) AS label
+  FROM annotation_responses WHERE item_id IS NOT NULL AND annotator_id IS NOT NULL),
+votes AS (SELECT item_id, annotator_id, ['applicant', 'non_applicant', 'unclear'][max({{'seq': seq, 'label': label}}).label] AS answer FROM said WHERE label > 0 GROUP BY 1, 2)
+"""
 ORACLES = {
+    "p2_votes": _P2 + "SELECT * FROM votes",
+    "p2_coverage": _P2 + "SELECT n::INT AS n_annotators, count(*) AS n_items, count(*) AS n_labelled FROM (SELECT count(*) AS n FROM votes GROUP BY item_id) GROUP BY 1",
     "p5_text_pairs": _P5 + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM plain a JOIN plain b ON a.t = b.t AND a.doc_id < b.doc_id WHERE a.t <> ''",
     "p5_totals": "SELECT count(DISTINCT doc_id) AS n_ids, count(doc_id)::BIGINT AS n_rows FROM doc_records",
     "p1_found": _P1 + "SELECT plan_id, category FROM cells WHERE available < greatest(target, min_rows)",

@@ -71,8 +71,35 @@ def test_broadcast_and_shuffle_agree(spark, monkeypatch):
     _, rows = crowd(50)
     df = spark.createDataFrame(rows, R)
     one = sorted((r.item_id, r.answer) for r in consensus.estimate(df)[0].collect())
+    from tamarisk import session
+
     monkeypatch.setattr(consensus, "BROADCAST_ROWS", 0)
-    assert sorted((r.item_id, r.answer) for r in consensus.estimate(df)[0].collect()) == one
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(session, "HOT_ROWS", 5)
+    items, people = consensus.estimate(df)
+    assert sorted((r.item_id, r.answer) for r in items.collect()) == one and people.count() == 11
+
+
+def test_plain_truth_discovery(spark):
+    """One error variance each: better than votes, worse than with confusion counts."""
+    truth, rows = crowd()
+    right = {}
+    for confusion in (False, True):
+        items, people = consensus.estimate(spark.createDataFrame(rows, R), confusion=confusion)
+        right[confusion] = np.mean([r.answer == truth[r.item_id] for r in items.collect()])
+        quality = {r.annotator_id: r for r in people.collect()}
+        assert min(quality[f"good{k}"].weight for k in range(6)) > quality["swap"].weight or confusion
+    assert 0.85 < right[False] < right[True]
+
+
+def test_few_answers_weigh_less(spark):
+    """Of two annotators who are always right, the one with fewer answers has the wider bound."""
+    rows = [(k, f"i{k // 4}", f"a{k % 4}", "applicant" if k // 4 % 2 else "unclear") for k in range(400)]
+    rows += [(1000 + k, f"i{k}", "rare", "applicant" if k % 2 else "unclear") for k in range(3)]
+    rows += [(2000 + k, f"i{k}", "noise", ("applicant", "unclear", "non_applicant")[k % 3]) for k in range(100)]
+    for confusion in (False, True):
+        q = {r.annotator_id: r for r in consensus.estimate(spark.createDataFrame(rows, R), confusion=confusion)[1].collect()}
+        assert q["rare"].weight < q["a0"].weight and (q["rare"].error_bound > q["a0"].error_bound or not confusion)
 
 
 @pytest.mark.parametrize("p, n, want", [(0.025, 1, 0.000982), (0.025, 10, 3.24697), (0.5, 4, 3.35669), (0.025, 100, 74.2219), (0.025, 1000, 914.257), (0.975, 30, 46.9792)])
