@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tamarisk.session import BROADCAST_ROWS
+from tamarisk.session import BROADCAST_ROWS, cut
 
 #: White space as Python's str.strip sees it.
 BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
@@ -64,12 +64,14 @@ def cells(plans: DataFrame, targets: DataFrame, units: DataFrame) -> DataFrame:
         .withColumn("mass", F.least("target", F.col("available").cast("double")))
     )
     before = W.partitionBy("plan_id").orderBy("category").rowsBetween(W.unboundedPreceding, -1)
-    return (
+    out = (
         out.withColumn("before", F.coalesce(F.sum("mass").over(before), F.lit(0.0)))
-        .withColumn("start", uniform(F.col("seed"), F.lit("start")))
-        .withColumn("extra", F.greatest(F.lit(0.0), F.least("wanted", F.col("available").cast("double")) - F.col("mass")))
+        .withColumn("start", uniform(F.col("seed"), F.col("plan_id").cast("string"), F.lit("start")))
         .withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("available") / BUCKET_ROWS)).cast("int"))
     )
+    # what the crossings give is known beforehand: a fractional target its floor or its ceiling
+    chosen = F.floor(F.col("before") + F.col("mass") + F.col("start")) - F.floor(F.col("before") + F.col("start"))
+    return out.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("min_rows").cast("bigint"), "available") - chosen))
 
 
 def draw(units: DataFrame, plan_cells: DataFrame, salts: int = 16) -> DataFrame:
@@ -101,17 +103,23 @@ def draw(units: DataFrame, plan_cells: DataFrame, salts: int = 16) -> DataFrame:
     crossed = lambda k: F.floor(F.col("before") + k * F.col("mass") / F.col("available") + F.col("start"))
     chosen = crossed(F.col("k")) > crossed(F.col("k") - 1)
     unchosen_rank = F.col("k") - (crossed(F.col("k")) - F.floor(F.col("before") + F.col("start")))
-    repaired = ~chosen & (unchosen_rank <= F.ceil(F.col("extra")))
+    repaired = ~chosen & (unchosen_rank <= F.col("extra"))
     return rows.select("plan_id", "category", "unit_id", repaired.alias("repaired"), chosen.alias("c")).where("c OR repaired").drop("c")
 
 
 def report(plan_cells: DataFrame, drawn: DataFrame) -> DataFrame:
-    """One row per target: wanted, available, drawn and whether it was met."""
+    """One row per target: wanted, available, drawn and whether it was met.
+
+    It wasn't if fewer than its floor or than the whole part of its target were
+    drawn, or if all its units were drawn and are fewer than wanted.
+    """
     got = drawn.groupBy("plan_id", "category").agg(F.count("*").alias("drawn"))
+    n = F.col("drawn")
+    met = (n >= F.floor("target")) & (n >= F.col("min_rows")) & ((n >= F.col("wanted")) | (n < F.col("available")))
     return (
         plan_cells.join(got, ["plan_id", "category"], "left")
         .fillna({"drawn": 0})
-        .select("plan_id", "category", "target", F.col("min_rows").cast("int").alias("min_rows"), "available", "drawn", (F.col("drawn") >= F.col("wanted")).alias("met"))
+        .select("plan_id", "category", "target", F.col("min_rows").cast("int").alias("min_rows"), "available", "drawn", met.alias("met"))
     )
 
 
@@ -121,8 +129,10 @@ def sample(plans: DataFrame, targets: DataFrame, units: DataFrame) -> tuple[Data
     plans: plan_id, batch_id, field, seed, requested. targets: plan_id,
     category, target_share, min_rows. units: as from :func:`frame`.
 
-    A category of which fewer units exist than wanted (the larger of its
-    target and its floor) gives all it has and is reported as not met; its
+    The units are gathered once and checkpointed, as are the targets' cells (a
+    row for each target). A fractional target gets the whole number below or
+    above it. A category of which fewer units exist than wanted (the larger of
+    its target and its floor) gives all it has and is reported as not met; its
     deficit isn't moved to others, which would distort their shares. Floors
     come on top of the targets. An id that has two categories in a batch is a
     unit of both. Nulls: plans without id and targets without category are
@@ -130,6 +140,7 @@ def sample(plans: DataFrame, targets: DataFrame, units: DataFrame) -> tuple[Data
     Repeated rows of plans, targets or units count once. Ties in the random
     order are broken by unit_id. Empty tables give empty results.
     """
-    plan_cells = cells(plans, targets, units)
+    units = cut(units)
+    plan_cells = cut(cells(plans, targets, units))
     drawn = draw(units, plan_cells)
     return drawn, report(plan_cells, drawn)

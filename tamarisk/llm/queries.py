@@ -28,6 +28,13 @@ def p1_sample(spark: SparkSession, d: str) -> DataFrame:
     return _p1(spark, d)[0]
 
 
+def p1_drawn(spark: SparkSession, d: str) -> DataFrame:
+    """The sample counted: units drawn, all different, of the plan's batch and category."""
+    plans = table(spark, d, "sampling_plans").select("plan_id", "batch_id", "field")
+    drawn = p1_sample(spark, d).join(plans, "plan_id")
+    return drawn.groupBy("plan_id", "category").agg(F.count("*").alias("n_drawn"), F.count_distinct("unit_id").alias("n_units"))
+
+
 def _p2(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return consensus.estimate(table(spark, d, "annotation_responses"))
 
@@ -125,7 +132,7 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
     return abuse.source_rates(_p8(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_items, p2_annotators, p2_votes, p2_coverage, p3_found, p4_sample, p4_sizes, p5_found, p5_text_pairs, p5_records, p5_totals, p6_ids, p7_containers, p7_fill, p8_found, p8_scores, p8_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_drawn, p2_found, p2_items, p2_annotators, p2_votes, p2_coverage, p3_found, p4_sample, p4_sizes, p5_found, p5_text_pairs, p5_records, p5_totals, p6_ids, p7_containers, p7_fill, p8_found, p8_scores, p8_sources)}
 
 _STRIP = r"lower(regexp_replace({}, '^[\s\x1c-\x1f\x{{85}}\pZ]+|[\s\x1c-\x1f\x{{85}}\pZ]+$', '', 'g'))"
 _P1 = f"""
@@ -162,6 +169,9 @@ WITH said AS (SELECT item_id, annotator_id, coalesce(seq, -9223372036854775807)
 votes AS (SELECT item_id, annotator_id, ['applicant', 'non_applicant', 'unclear'][max({{'seq': seq, 'label': label}}).label] AS answer FROM said WHERE label > 0 GROUP BY 1, 2)
 """
 ORACLES = {
+    "p1_drawn": _P1
+    + """SELECT plan_id, category, n AS n_drawn, n AS n_units FROM (
+    SELECT plan_id, category, least(available, greatest(target, min_rows))::BIGINT AS n FROM cells) WHERE n > 0""",
     "p2_votes": _P2 + "SELECT * FROM votes",
     "p2_coverage": _P2 + "SELECT n::INT AS n_annotators, count(*) AS n_items, count(*) AS n_labelled FROM (SELECT count(*) AS n FROM votes GROUP BY item_id) GROUP BY 1",
     "p5_text_pairs": _P5 + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM plain a JOIN plain b ON a.t = b.t AND a.doc_id < b.doc_id WHERE a.t <> ''",

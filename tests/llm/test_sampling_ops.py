@@ -45,6 +45,20 @@ def test_shares_floors_and_shortfalls(spark):
     assert len(set(got)) == len(got)
 
 
+def test_fractional_targets(spark):
+    """Where units abound, a fractional target is met by the whole number below it or above."""
+    plans = spark.createDataFrame([(k, "b", "country", k, 13, "x") for k in range(8)], PLAN)
+    t = spark.createDataFrame([(k, c, s, 0, "x") for k in range(8) for c, s in (("A", 0.3), ("B", 0.25), ("C", 0.45))], TARGET)
+    _, report = proportional.sample(plans, t, units(spark, {c: 100 for c in "ABC"}))
+    rows = report.collect()
+    assert len(rows) == 24 and all(r.met and abs(r.drawn - r.target) < 1 for r in rows)
+    assert {sum(r.drawn for r in rows if r.plan_id == k) for k in range(8)} == {13}
+    _, report = run(spark, {"A": 3, "B": 4, "C": 100}, {"A": (0.39, 0), "B": (0.39, 4), "C": (0.22, 3)}, requested=10)
+    assert {c: (r.drawn, r.met) for c, r in report.items() if c != "C"} == {"A": (3, False), "B": (4, True)} and report["C"].drawn == 3
+    starts = proportional.cells(spark.createDataFrame([(k, "b", "country", 1, 13, "x") for k in range(8)], PLAN), t, units(spark, {"A": 5})).select("start").distinct()
+    assert starts.count() == 8  # plans of one seed don't share a start
+
+
 def test_draw_is_independent_of_partitions_and_buckets(spark, monkeypatch):
     args = ({"A": 500, "B": 77}, {"A": (0.7, 0), "B": (0.3, 40)})
     base, _ = run(spark, *args)
