@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarisk.llm import abuse, bpe, consensus, formatdup, packing, proportional, sentences, stable
-from tamarisk.session import cut, scratch_path, table
+from tamarisk.session import cut, shared_dir, table
 
 
 def _p1(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -71,18 +74,40 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _registry(spark: SparkSession, d: str) -> DataFrame:
-    return stable.register(table(spark, d, "tagged_cues"), scratch_path(spark, "prn"), "cue_id")
+    """The numbers of the table's cues, from a registry kept for this folder.
+
+    Cues come in two batches, by when they were tagged, so the second (and
+    every later run) meets the numbers given before.
+    """
+    cues = table(spark, d, "tagged_cues")
+    path = f"{shared_dir(spark)}/prn-registry-{hashlib.sha256(os.path.abspath(d).encode()).hexdigest()[:16]}"
+    first, last = cues.agg(F.min(F.unix_micros(F.col("tagged_at").cast("timestamp"))), F.max(F.unix_micros(F.col("tagged_at").cast("timestamp")))).first()
+    late = F.coalesce(F.unix_micros(F.col("tagged_at").cast("timestamp")) > ((first or 0) + (last or 0)) // 2, F.lit(False))
+    stable.register(cues.where(~late), path, "cue_id")
+    return stable.current(cues, stable.register(cues.where(late), path, "cue_id"), "cue_id")
+
+
+def _p4(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return stable.positions(cut(_registry(spark, d)), table(spark, d, "sampling_plans"))
 
 
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:
-    out = stable.chosen(_registry(spark, d), table(spark, d, "sampling_plans"))
-    return out.select(F.col("id").alias("cue_id"), "prn", "plan_ids")
+    """The cues with number, position and how many plans hold each; p4_plans says which positions a plan holds."""
+    return _p4(spark, d)[0].withColumnRenamed("id", "cue_id")
+
+
+def p4_plans(spark: SparkSession, d: str) -> DataFrame:
+    return _p4(spark, d)[1]
 
 
 def p4_sizes(spark: SparkSession, d: str) -> DataFrame:
-    plans = table(spark, d, "sampling_plans")
-    sizes = stable.members(_registry(spark, d), plans).groupBy("plan_id").agg(F.count("*").alias("n_chosen"))
-    return plans.select("plan_id").distinct().join(sizes, "plan_id", "left").fillna({"n_chosen": 0})
+    return _p4(spark, d)[1].select("plan_id", "n_chosen")
+
+
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    """The samples of the plans asked for: every plan whose id is divisible by 100."""
+    asked = table(spark, d, "sampling_plans").where("plan_id % 100 = 0")
+    return stable.members(_registry(spark, d), asked).withColumnRenamed("id", "cue_id")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +157,7 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
     return abuse.source_rates(_p8(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_drawn, p2_found, p2_items, p2_annotators, p2_votes, p2_coverage, p3_found, p4_sample, p4_sizes, p5_found, p5_text_pairs, p5_records, p5_totals, p6_ids, p7_containers, p7_fill, p8_found, p8_scores, p8_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_drawn, p2_found, p2_items, p2_annotators, p2_votes, p2_coverage, p3_found, p4_sample, p4_plans, p4_sizes, p4_members, p5_found, p5_text_pairs, p5_records, p5_totals, p6_ids, p7_containers, p7_fill, p8_found, p8_scores, p8_sources)}
 
 _STRIP = r"lower(regexp_replace({}, '^[\s\x1c-\x1f\x{{85}}\pZ]+|[\s\x1c-\x1f\x{{85}}\pZ]+$', '', 'g'))"
 _P1 = f"""
@@ -181,7 +206,12 @@ ORACLES = {
     + """SELECT plan_id, category, target, min_rows, available,
     least(available, greatest(target, min_rows))::BIGINT AS drawn, available >= greatest(target, min_rows) AS met FROM cells""",
     "p4_sample": _P4
-    + """SELECT cue_id, any_value(prn) AS prn, coalesce(list_sort(list(plan_id) FILTER (plan_id IS NOT NULL)), []) AS plan_ids
-    FROM reg LEFT JOIN held USING (cue_id) GROUP BY cue_id""",
+    + """SELECT cue_id, prn, row_number() OVER (ORDER BY prn, cue_id) - 1 AS position, n AS n_plans FROM (
+    SELECT cue_id, any_value(prn) AS prn, count(plan_id) AS n FROM reg LEFT JOIN held USING (cue_id) GROUP BY cue_id)""",
+    "p4_plans": _P4
+    + """SELECT p.plan_id, CASE WHEN p.rate >= 1 OR n = 0 THEN 0 WHEN p.rate > 0 THEN below % n END AS first, coalesce(h.k, 0) AS n_chosen
+    FROM (SELECT plan_id, rate, (SELECT count(*) FROM reg WHERE prn < a) AS below, (SELECT count(*) FROM reg) AS n FROM plan) p
+    LEFT JOIN (SELECT plan_id, count(*) AS k FROM held GROUP BY 1) h USING (plan_id)""",
+    "p4_members": _P4 + "SELECT plan_id, cue_id FROM held WHERE plan_id % 100 = 0",
     "p4_sizes": _P4 + "SELECT plan.plan_id, count(held.cue_id) AS n_chosen FROM plan LEFT JOIN held USING (plan_id) GROUP BY ALL",
 }
