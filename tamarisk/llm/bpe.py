@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 from collections import ChainMap
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -103,6 +103,22 @@ class ByteBPE:
         return [np.concatenate([known[w] for w in ws]) if ws else empty for ws in split]
 
 
+    @cached_property
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of each id, from the merges."""
+        out: list[bytes] = [b""] * (self.width - 1)
+        for b, i in enumerate(self.byte_ids.tolist()):
+            out[i] = bytes([b])
+        order = np.argsort(self.ranks)
+        for key, i in zip(self.keys[order].tolist(), self.merged[order].tolist()):
+            out[i] = out[key // self.width] + out[key % self.width]
+        return out
+
+    def decode(self, ids: list[int]) -> bytes:
+        known = self.token_bytes
+        return b"".join(known[i] for i in ids)
+
+
 @lru_cache(maxsize=4)
 def load(path: str) -> ByteBPE:
     """The vocabulary, once per worker process."""
@@ -158,3 +174,18 @@ def token_counts(df: DataFrame, text: str = "text", out: str = "n_tokens", token
     """df with the number of tokens of column ``text``, 0 for null and empty."""
     ids = token_ids(F.col(f"`{text}`"), f"{tokenizer_dir}/{tokenizer}.json")
     return df.withColumn(out, F.size(ids).cast("int"))
+
+
+def decode(df: DataFrame, ids: str = "ids", out: str = "bytes", tokenizer: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
+    """df with the bytes that column ``ids`` stands for in column ``out``; none for null and empty lists.
+
+    Of ids from :func:`encode` these are the text's UTF-8 bytes.
+    """
+    path = f"{tokenizer_dir}/{tokenizer}.json"
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bpe = load(path)
+        for rows in batches:
+            yield pd.Series([bpe.decode(r.tolist()) if r is not None else b"" for r in rows], dtype=object)
+
+    return df.withColumn(out, F.pandas_udf(run, "binary")(F.col(f"`{ids}`")))

@@ -65,12 +65,26 @@ def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
     return _p2(spark, d)[0].groupBy("n_annotators").agg(F.count("*").alias("n_items"), F.count("answer").alias("n_labelled"))
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
+def _texts(spark: SparkSession, d: str) -> DataFrame:
     docs, cues = table(spark, d, "doc_records"), table(spark, d, "tagged_cues")
-    model = sentences.learn(docs.select(F.col("text_norm").alias("text")))
     texts = docs.select(F.lit("doc").alias("kind"), F.col("doc_id").alias("record_id"), F.col("text_norm").alias("text"))
-    texts = texts.unionByName(cues.select(F.lit("cue").alias("kind"), F.col("cue_id").alias("record_id"), F.col("sentence_context").alias("text")))
-    return sentences.sentences(texts, ["kind", "record_id"], "text", model)
+    return texts.unionByName(cues.select(F.lit("cue").alias("kind"), F.col("cue_id").alias("record_id"), F.col("sentence_context").alias("text")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of records and cue contexts. The statistics are those of all records, of which the contexts are parts."""
+    model = sentences.learn(table(spark, d, "doc_records").select(F.col("text_norm").alias("text")))
+    return sentences.sentences(_texts(spark, d), ["kind", "record_id"], "text", model)
+
+
+def p3_letters(spark: SparkSession, d: str) -> DataFrame:
+    """Texts and their letters and digits, and how many of these stand in sentences: all, each once."""
+    texts = _texts(spark, d).where("text IS NOT NULL").distinct()
+    units = p3_found(spark, d).join(texts, ["kind", "record_id"])
+    bare = lambda c: F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
+    inside = units.select("kind", bare(F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))).alias("n"))
+    all_ = texts.groupBy("kind").agg(F.count("*").alias("n_texts"), F.sum(bare(F.col("text"))).alias("n_letters"))
+    return all_.join(inside.groupBy("kind").agg(F.sum("n").alias("n_inside")), "kind")
 
 
 def _registry(spark: SparkSession, d: str) -> DataFrame:
@@ -132,6 +146,12 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
+def p6_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The ids decoded again: the MD5 of what they stand for, to compare with that of the texts."""
+    decoded = bpe.decode(p6_ids(spark, d))
+    return decoded.select("doc_id", F.md5("bytes").alias("md5"))
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     sized = cut(bpe.token_counts(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "n_tokens"))
     return packing.containers(sized, table(spark, d, "pack_profiles"))
@@ -141,6 +161,16 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fills(p7_containers(spark, d), table(spark, d, "pack_profiles"))
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """By profile: documents packed, containers too full, documents cut without need or packed twice, unsettled searches."""
+    packed = cut(p7_containers(spark, d).join(F.broadcast(table(spark, d, "pack_profiles")), "profile_id"))
+    over = packed.groupBy("profile_id", "container_id", "capacity").agg(F.sum("n_tokens").alias("n"), F.min("settled").alias("settled"))
+    over = over.groupBy("profile_id").agg(F.count_if(F.col("n") > F.col("capacity")).alias("n_over"), F.count_if(~F.col("settled")).alias("n_unsettled"))
+    docs = packed.groupBy("profile_id", "doc_id", "capacity").agg(F.count("*").alias("k"), F.count_distinct("piece").alias("pieces"), F.sum("n_tokens").alias("n"))
+    docs = docs.groupBy("profile_id").agg(F.count("*").alias("n_docs"), F.count_if((F.col("k") > 1) & (F.col("n") <= F.col("capacity"))).alias("n_cut"), F.count_if(F.col("k") > F.col("pieces")).alias("n_twice"))
+    return docs.join(over, "profile_id")
+
+
 def _p8(spark: SparkSession, d: str) -> DataFrame:
     return abuse.score(table(spark, d, "documents").select("doc_id", "source", "text"))
 
@@ -157,7 +187,14 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
     return abuse.source_rates(_p8(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_drawn, p2_found, p2_items, p2_annotators, p2_votes, p2_coverage, p3_found, p4_sample, p4_plans, p4_sizes, p4_members, p5_found, p5_text_pairs, p5_records, p5_totals, p6_ids, p7_containers, p7_fill, p8_found, p8_scores, p8_sources)}
+def p8_counts(spark: SparkSession, d: str) -> DataFrame:
+    """By source: documents, scores from 0 to 1, and null, empty and blank texts, which score 0."""
+    scored = _p8(spark, d)
+    blank = F.coalesce(proportional.stripped(F.col("text")) == "", F.lit(True))
+    return scored.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if(F.col("score").between(0, 1)).alias("n_scored"), F.count_if(blank & (F.col("score") == 0)).alias("n_blank"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_drawn, p2_found, p2_items, p2_annotators, p2_votes, p2_coverage, p3_found, p3_letters, p4_sample, p4_plans, p4_sizes, p4_members, p5_found, p5_text_pairs, p5_records, p5_totals, p6_ids, p6_texts, p7_containers, p7_fill, p7_checks, p8_found, p8_scores, p8_sources, p8_counts)}
 
 _STRIP = r"lower(regexp_replace({}, '^[\s\x1c-\x1f\x{{85}}\pZ]+|[\s\x1c-\x1f\x{{85}}\pZ]+$', '', 'g'))"
 _P1 = f"""
@@ -193,7 +230,15 @@ WITH said AS (SELECT item_id, annotator_id, coalesce(seq, -9223372036854775807)
   FROM annotation_responses WHERE item_id IS NOT NULL AND annotator_id IS NOT NULL),
 votes AS (SELECT item_id, annotator_id, ['applicant', 'non_applicant', 'unclear'][max({{'seq': seq, 'label': label}}).label] AS answer FROM said WHERE label > 0 GROUP BY 1, 2)
 """
+_BARE = "length(regexp_replace(text, '[^\\pL\\pN]+', '', 'g'))"
 ORACLES = {
+    "p3_letters": f"""SELECT kind, count(*) AS n_texts, sum({_BARE})::BIGINT AS n_letters, sum({_BARE})::BIGINT AS n_inside FROM (
+    SELECT DISTINCT 'doc' AS kind, doc_id AS id, text_norm AS text FROM doc_records WHERE text_norm IS NOT NULL
+    UNION ALL SELECT DISTINCT 'cue', cue_id, sentence_context FROM tagged_cues WHERE sentence_context IS NOT NULL) GROUP BY kind""",
+    "p6_texts": "SELECT doc_id, md5(coalesce(text, '')) AS md5 FROM documents",
+    "p7_checks": """SELECT profile_id, count(DISTINCT doc_id) AS n_docs, 0::BIGINT AS n_cut, 0::BIGINT AS n_twice, 0::BIGINT AS n_over, 0::BIGINT AS n_unsettled
+    FROM pack_profiles, documents WHERE capacity > 0 GROUP BY profile_id""",
+    "p8_counts": f"""SELECT source, count(*) AS n_docs, count(*) AS n_scored, count(*) FILTER (coalesce({_STRIP.format("text")}, '') = '') AS n_blank FROM documents GROUP BY source""",
     "p1_drawn": _P1
     + """SELECT plan_id, category, n AS n_drawn, n AS n_units FROM (
     SELECT plan_id, category, least(available, greatest(target, min_rows))::BIGINT AS n FROM cells) WHERE n > 0""",

@@ -43,7 +43,8 @@ def test_packing_is_valid_and_tight():
     rng = np.random.default_rng(1)
     for capacity in (10, 256, 4096):
         for sizes in (rng.integers(1, capacity + 1, 500), rng.integers(1, max(2, capacity // 3), 500), np.full(50, capacity // 2 + 1), np.array([capacity])):
-            where = packing.pack(sizes, capacity)
+            where, settled = packing.pack(sizes, capacity)
+            assert settled
             fill = np.bincount(where, sizes)
             assert fill.max() <= capacity and (np.unique(where) == np.arange(len(fill))).all()
             first, fills = packing.best_fit(sizes, capacity)
@@ -54,11 +55,29 @@ def test_local_search_improves_a_poor_start():
     sizes = np.array([6, 5, 5, 4, 4, 3, 3])  # 30 = 3 containers of 10
     poor = np.array([0, 1, 2, 2, 3, 3, 1])
     fills = np.bincount(poor, sizes).tolist()
-    better = packing.improve(sizes, poor, fills, 10)
+    better, settled = packing.improve(sizes, poor, fills, 10)
+    assert settled and not packing.improve(sizes, poor, fills, 10, passes=0)[1]
     got = np.bincount(better, sizes, minlength=4)
     assert got.max() <= 10 and np.count_nonzero(got) == 3 < np.count_nonzero(fills)
 
 
+def test_pairs_among_very_many_documents():
+    """A two-for-one exchange is found however many documents the giving container has."""
+    many = [1] * 100 + [3, 4]  # the emptiest container; only 3 + 4 for the other's 6 fills it
+    sizes = np.array([*many, 6, 994, 500, 493])
+    where = np.array([0] * 102 + [1, 1, 2, 2])
+    fill = np.bincount(where, sizes).astype(np.int64)
+    mine, others = np.flatnonzero(where == 0), np.array([102])
+    gives, takes, target = packing._step(sizes, where, fill - np.array([0, 0, 0]), mine, others, 1001)
+    assert sizes[gives].sum() - sizes[takes].sum() == 1 and target == 1
+
+
+def test_decoding_returns_the_bytes(spark):
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(TEXTS)], "doc_id int, text string")
+    got = {r.doc_id: bytes(r.bytes) for r in bpe.decode(bpe.encode(df)).collect()}
+    assert got == {k: (x or "").encode() for k, x in enumerate(TEXTS)}
+
+
 def test_containers(spark):
     rng = random.Random(2)
     data = [(k, rng.randint(0, 700)) for k in range(400)] + [(3, 5), (3, 5), (900, None), (901, 0), (902, 256), (903, 5000), (None, 7)]
