@@ -172,7 +172,8 @@ def p7_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p8(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.score(table(spark, d, "documents").select("doc_id", "source", "text"))
+    documents = table(spark, d, "documents").select("doc_id", "source", "text")
+    return abuse.score(documents, model=abuse.adapted(documents))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -121,30 +121,151 @@ def test_held_out_fillings(model):
     assert len(new) > 1000 and wrong < 0.02
 
 
+#: Written apart from the labelled sentences, in other words and styles.
+HELD_OUT_ABUSE = """
+She is a dirty whore
+You're an absolute waste of space, dickhead
+They ought to string up every last one of those immigrants
+Oh do shut your ugly mouth, you pathetic little worm
+Whoever hired this moron should be ashamed, what a dumb pig
+I'll smash that stupid face of yours, just wait
+One more word and my boys will burn your car
+Women are too stupid for this, keep them in the kitchen
+Muslims are a plague and should be thrown out
+Foreigners? Filthy rats, all of them. Kick them out.
+Want a raise, honey? Then come to bed with me
+He asked for nude selfies before he would sign anything
+Sit on my lap and show me your breasts, then we talk about salary
+Go kill yourself, nobody needs a loser like you
+You fucking idiot, eat shit and die
+أنت حيوان وقذر ولا تستحق الاحترام
+اخرس أيها الكلب الحقير
+والله لأكسر عظامك يا حقير
+اللاجئون لصوص وحثالة ويجب طردهم
+النساء غبيات ومكانهن المطبخ
+نامي معي وأعطيك الوظيفة
+أرسلي صورا عارية لجسمك
+سوف أقتلك أنت وأولادك
+Ferme-la, sale pute, tu es une ordure
+Les arabes sont des rats, dehors les parasites
+Je vais te casser les dents, connard
+Заткнись, тупая скотина
+Мигранты — крысы и воры, гнать их
+Я тебя убью, тварь
+闭嘴，你这个蠢货
+外国人都是垃圾和小偷
+你跟我睡一晚，工作就给你
+چپ کر کمینے کتے
+मार डालूँगा तुझे, हरामी
+黙れ、役立たずのクズ
+女は馬鹿だ、雇うな
+ไสหัวไป ไอ้โง่
+ዝም በል አንተ ቆሻሻ ውሻ
+"""
+HELD_OUT_SOBER = """
+We hired many immigrants this year.
+Our team includes women, immigrants and Muslims
+Our team includes men, locals and Christians
+The disabled have reserved parking.
+Women and men earn the same salary here.
+Old people need more care in winter.
+Gay people live next door.
+She teaches refugees every evening.
+Jews, Muslims and Christians share the building.
+The black workers formed a union.
+Several blind people swim here on Fridays.
+The parliament debated the rights of refugees and women.
+Teenagers must be accompanied by their parents.
+The library lends novels about gangs and crime.
+Please forward the invoice to the accounts desk.
+Two electricians and a roofer wanted for a school building
+The course covers contraception, pregnancy and birth.
+Her thesis compares insults in three dialects.
+The kennel feeds forty dogs a day.
+My previous employer closed and I moved.
+Do you offer remote work on Wednesdays?
+The witness described the stabbing to the police.
+Remove the naked cable and insulate it.
+اللاجئون والنساء مرحب بهم في مركزنا
+تناقش الندوة حقوق المهاجرين
+يحتاج كبار السن إلى رعاية في الشتاء
+نبحث عن كهربائي لبناء مدرسة
+أين يقع المكتب ومتى يفتح؟
+عيادة الأسنان تفتح يوم السبت
+Les femmes et les étrangers ont les mêmes droits
+Le colis arrive mercredi
+Беженцы и женщины посещают курсы
+Поезд отправляется вечером
+老人和移民都可以参加课程
+图书馆星期三开门
+خواتین اور مہاجر کورس میں آ سکتے ہیں
+महिलाएँ और शरणार्थी कोर्स में आ सकते हैं
+外国人と老人も参加できます
+คนพิการและผู้หญิงเข้าร่วมได้
+ሴቶችና ስደተኞች መሳተፍ ይችላሉ
+"""
+
+
+def test_held_out_sentences(model):
+    lines = lambda x: x.strip().split("\n")
+    caught = [t for t in lines(HELD_OUT_ABUSE) if model.probability(t) >= abuse.THRESHOLD]
+    false = [t for t in lines(HELD_OUT_SOBER) if model.probability(t) >= abuse.THRESHOLD]
+    print(len(caught), len(lines(HELD_OUT_ABUSE)), false)
+    assert len(caught) >= 0.9 * len(lines(HELD_OUT_ABUSE)), set(lines(HELD_OUT_ABUSE)) - set(caught)
+    assert len(false) <= 0.1 * len(lines(HELD_OUT_SOBER)), false
+    assert not set(false) & set(lines(HELD_OUT_SOBER)[:10])  # neutral mentions of groups
+
+
 def test_held_out_templates(monkeypatch):
-    """Sentences of whole templates kept out of training: much harder, as each says something new."""
+    """Sentences of whole templates kept out of training."""
     rng = random.Random(5)
     out = {k: [t for t in x.strip().split("\n") if t] for k, x in (("ABUSIVE", abuse.ABUSIVE), ("NEUTRAL", abuse.NEUTRAL))}
     held = {k: set(rng.sample(v, len(v) // 6)) for k, v in out.items()}
     for k, v in out.items():
         monkeypatch.setattr(abuse, k, "\n".join(t for t in v if t not in held[k]))
-    m = abuse.fit(*abuse.samples(copies=12))
+    m = abuse.fit(*abuse.samples())
     rate = lambda k: np.mean([m.probability(abuse._fill(t, rng)) >= abuse.THRESHOLD for t in sorted(held[k]) for _ in range(5)])
     caught, false = rate("ABUSIVE"), rate("NEUTRAL")
-    assert caught > 0.45 and false < 0.25, (caught, false)
+    print(caught, false)
+    assert caught > 0.8 and false < 0.45, (caught, false)
+
+
+def test_the_swap_penalty_brings_groups_together():
+    """Scores of copies with swapped groups are closer with the penalty than without."""
+    s = abuse.samples(copies=6)
+    gaps = []
+    for penalty in (0.0, 0.5):
+        m = abuse.fit(*s, swap_penalty=penalty)
+        gaps.append(np.mean([abs(m.score(abuse.passages(f"{a} live in our street")[0]) - m.score(abuse.passages(f"{b} live in our street")[0])) for a in abuse.SLOTS["group"] for b in ("people", "women", "Jews")]))
+    assert gaps[1] < 0.6 * gaps[0], gaps
+
+
+def test_background_teaches_what_is_ordinary():
+    """Words unknown to the labels, common in a corpus; a rare abusive passage in it is no lesson."""
+    rng = random.Random(1)
+    odd = ["zorp {} idiot-free flanges", "the {} moron valve is oiled", "stupid {} bolts are fine"]
+    texts = [f"{rng.choice(odd).format(rng.choice('abcdefgh') * 3)}. item {k}" for k in range(300)] + ["You stupid moron, go to hell."]
+    plain, m = abuse.trained(), abuse.fit(*abuse.samples(), background=texts)
+    probe = ["zorp kkk idiot-free flanges", "the xyz moron valve is oiled"]
+    assert all(m.probability(t) < min(abuse.THRESHOLD, plain.probability(t)) for t in probe)
+    assert m.probability("You stupid moron, go to hell.") > abuse.THRESHOLD
+
 
+def test_adapting_to_a_table(spark):
+    texts = [(k % 40, f"note {k % 40}. the lamp is on") for k in range(400)] + [(1000, None), (1001, "")]
+    df = spark.createDataFrame(texts, "doc_id int, text string")
+    assert abuse.adapted(df) is abuse.adapted(df.repartition(7)) and abuse.adapted(df, texts=5) is abuse.adapted(df.repartition(3), texts=5)
+    assert abuse.adapted(df.where("false")) is abuse.trained()
 
-def test_groups_alone_dont_decide(model):
-    from tamarisk.llm.abuse_labels import SLOTS
 
-    for g in SLOTS["group"]:
-        assert model.probability(f"{g} are encouraged to apply for the nurse post.") < abuse.THRESHOLD
-        assert model.probability(f"Keep {g} out of our office, they are vermin.") > abuse.THRESHOLD
-    gaps = [abs(model.score(abuse.passages(f"{a} work in our finance unit.")[0]) - model.score(abuse.passages(f"{b} work in our finance unit.")[0])) for a in SLOTS["group"][:4] for b in SLOTS["group"][4:8]]
-    assert max(gaps) < 2.5
+def test_long_words_are_read_whole(model):
+    """No prefix: what stands behind many characters without a blank counts."""
+    assert model.probability("今天天气很好" * 20 + "你这个蠢货滚出去" + "今天天气很好" * 20) > abuse.THRESHOLD
+    assert model.probability("ok 好的 谢谢, fuck you") > abuse.THRESHOLD  # two Latin words beside another script
+    assert len(abuse.passages("xy" * 50_001)) > 4_000
 
 
-@pytest.mark.parametrize("text", ["You m*ron, nobody wants you in Giza.", "You  s t u p i d   c o w, nobody wants you here.", "GO TO HELL, BELMAR, YOU SCUUUUMBAG.", "Shut up, you l0ser!", "You piece of tr​ash, nobody wants you in Giza."])
+@pytest.mark.parametrize("text", ["You m*ron, leave me alone.", "You  s t u p i d   c o w, leave.", "GO TO HELL, PETER, YOU SCUUUUMBAG.", "Shut up, you l0ser!", "You piece of sh\u200bit, leave me alone.", "You st<b>up</b>id m&#111;ron"])
 def test_disguises(model, text):
     assert model.probability(text) > abuse.THRESHOLD
 
