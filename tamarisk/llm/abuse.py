@@ -19,6 +19,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -70,10 +71,8 @@ _FOLDS = _Folds()
 _BLOCK = re.compile(r"<(?:/?(?:p|br|div|li|ul|ol|td|tr|table|h[1-6])\b[^<>]*|hr)>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z|!][^<>]*>")
 _BROKEN = re.compile("(?:[Â-ô][\u0080-¿]{1,3})+")
-_RULES = re.compile(r"([=\-_~#*.])\1{4,}")
-_SPELLED = re.compile(r"(?<![\w*])[^\W\d_](?:[ .\-_*·]{1,2}[^\W\d_]){2,}(?![\w*])")
-_SEPARATORS = re.compile(r"[ .\-_*·]")
-_LONG = re.compile(r"([^\W\d_])\1{2,}")
+_BREAKING = ("Ã", "Ø", "Ù", "Ð", "Ñ", "â\u0080")
+_AGAIN = re.compile(r"([^\s\d])\1{2,}")
 _STOP = re.compile(r"\.(?=\s|$)|(?<=[^\W\d_a-z])\.(?=[^\W\d_]{2})")
 _LEET = re.compile(r"[013457]")
 _DIGITS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"})
@@ -81,59 +80,68 @@ _FLAT = str.maketrans({".": " ", "-": " ", "_": " ", "·": " "})
 
 
 def clean(text: str) -> str:
-    """The text folded and without decoration; spelled-out words joined; passages on lines."""
+    """The text folded and without decoration; stretched letters and lines once; passages on lines."""
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
         text = _TAG.sub("", _BLOCK.sub("\n", text))
-    if not text.isascii():
+    if any(x in text for x in _BREAKING):
         text = _BROKEN.sub(" ", text)
-    text = _RULES.sub(" ", text)
-    text = text.translate(_FOLDS)
-    text = _SPELLED.sub(lambda m: _SEPARATORS.sub("", m[0]), text)
-    text = _LONG.sub(r"\1", text)
-    return _STOP.sub("\n", text).translate(_FLAT)
+    text = _AGAIN.sub(r"\1", text.translate(_FOLDS))
+    return (_STOP.sub("\n", text) if "." in text else text).translate(_FLAT)
 
 
-def _words(line: str, leet: bool, starred: bool) -> list[str]:
+def _words(line: str) -> list[str]:
     words = line.split()
-    if starred:  # a star within a word hides a letter; around a word it is decoration
-        words = [x for w in words if (x := w.strip("*") if w[0] == "*" else w)]
-    if leet:
+    if "*" in line:  # a star within a word hides a letter; around a word it is decoration, between all letters too
+        words = [w.replace("*", "") if w[0] == "*" or w[1::2] == "*" * (len(w) // 2) and len(w) > 4 else w for w in words]
+        words = [w for w in words if w]
+    if list(map(len, words)).count(1) > 2:
+        words = _joined(words)
+    if _LEET.search(line):
         words = [w if w.isalpha() or w.isdecimal() else w.translate(_DIGITS) for w in words]
     return words
 
 
+def _joined(words: list[str]) -> list[str]:
+    """Three and more single letters in a row are one word, spelled out."""
+    out: list[str] = []
+    for single, run in groupby(words, key=lambda w: len(w) == 1 and w.isalpha()):
+        same = list(run)
+        out += ["".join(same)] if single and len(same) > 2 else same
+    return out
+
+
 def passages(text: str) -> list[list[str]]:
-    """The words of each passage, in windows of bounded length that overlap by half.
+    """The words of each passage of a text."""
+    return [p for line in clean(text).split("\n") for p in _windows(line)]
+
+
+def _windows(line: str) -> list[list[str]]:
+    """The words of a passage, in windows of bounded length that overlap by half.
 
     Where a script without blanks meets other words, each side is also a
     passage of its own; so is every piece of a very long word.
     """
-    text = clean(text)
-    leet, starred, solid = bool(_LEET.search(text)), "*" in text, bool(_SOLID.search(text))
+    words = _words(line)
+    if not words:
+        return []
+    runs = [words]
+    if not line.isascii() and _SOLID.search(line):
+        sides = [[w for w in words if bool(_SOLID.search(w)) == x] for x in (True, False)]
+        if all(sides):
+            runs += sides
     found: list[list[str]] = []
-    for line in text.split("\n"):
-        words = _words(line, leet, starred)
-        if not words:
-            continue
-        runs = [words]
-        if solid:
-            sides = [[w for w in words if bool(_SOLID.search(w)) == x] for x in (True, False)]
-            if all(sides):
-                runs += sides
-        for run in runs:
-            if max(map(len, run)) > PIECE:
-                for w in run:
-                    if len(w) > PIECE:
-                        found += [[w[k : k + PIECE]] for k in range(0, len(w) - PIECE // 2, PIECE // 2)]
-                run = [w for w in run if len(w) <= PIECE]
-                if not run:
-                    continue
-            if len(run) <= WINDOW:
-                found.append(run)
-            else:
-                found += [run[k : k + WINDOW] for k in range(0, len(run) - WINDOW // 2, WINDOW // 2)]
+    for run in runs:
+        if max(map(len, run)) > PIECE:
+            for w in run:
+                if len(w) > PIECE:
+                    found += [[w[k : k + PIECE]] for k in range(0, len(w) - PIECE // 2, PIECE // 2)]
+            run = [w for w in run if len(w) <= PIECE]
+        if len(run) > WINDOW:
+            found += [run[k : k + WINDOW] for k in range(0, len(run) - WINDOW // 2, WINDOW // 2)]
+        elif run:
+            found.append(run)
     return found
 
 
@@ -200,6 +208,8 @@ class Model:
 
     #: Words a worker keeps.
     KEPT_WORDS = 500_000
+    #: Passages a worker keeps the scores of.
+    KEPT_LINES = 100_000
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
@@ -212,6 +222,7 @@ class Model:
         keys = np.array([self.paired[a] * width + self.paired[b] for a, b, _ in pairs], dtype=np.int64)
         order = np.argsort(keys)
         self.width, self.keys, self.values = width, keys[order], np.array([v for *_, v in pairs], dtype=float)[order]
+        self.lines: dict[str, float] = {}
         self.number: dict[str, int] = {}
         self.sums: list[float] = []
         self.sizes: list[int] = []
@@ -259,15 +270,24 @@ class Model:
         return float(self.scores([words])[0])
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
-        """The highest probability of a passage of each text; 0 where there is none."""
-        each = [passages(t) if t else [] for t in texts]
-        out = np.zeros(len(texts))
-        some = np.array([k for k, p in enumerate(each) if p], dtype=np.int64)
+        """The highest probability of a passage of each text; 0 where there is none.
+
+        Passages that come again, as boilerplate does, are scored once.
+        """
+        each = [clean(t).split("\n") if t else [] for t in texts]
+        if len(self.lines) > self.KEPT_LINES:
+            self.lines.clear()
+        known = self.lines
+        new = list(dict.fromkeys(x for lines in each for x in lines if x not in known))
+        found = [_windows(x) for x in new]
+        tops = np.full(len(new), -np.inf)
+        some = np.array([k for k, p in enumerate(found) if p], dtype=np.int64)
         if len(some):
-            sizes = np.array([len(each[k]) for k in some])
-            top = np.maximum.reduceat(self.scores([p for ps in each for p in ps]), np.r_[0, np.cumsum(sizes)[:-1]])
-            out[some] = 1 / (1 + np.exp(-np.clip(top, -50, 50)))
-        return out
+            sizes = np.array([len(found[k]) for k in some])
+            tops[some] = np.maximum.reduceat(self.scores([p for ps in found for p in ps]), np.r_[0, np.cumsum(sizes)[:-1]])
+        known.update(zip(new, tops.tolist()))
+        top = np.array([max([known[x] for x in lines]) if lines else -np.inf for lines in each])
+        return np.where(np.isneginf(top), 0.0, 1 / (1 + np.exp(-np.clip(top, -50, 50))))
 
     def probability(self, text: str | None) -> float:
         return float(self.probabilities([text])[0])
@@ -401,11 +421,11 @@ def adapted(df: DataFrame, text: str = "text", texts: int = BACKGROUND) -> Model
 
     The texts are different ones, chosen by their hash, so that the sample is
     the same in every run and partitioning and no text that is repeated very
-    often fills it. One scan; about twenty times as many are kept until
+    often fills it. One scan; about twice as many are kept until
     repeats are dropped. Of an empty table this is :func:`trained`.
     """
     rows = df.select(F.col(f"`{text}`").cast("string").alias("t")).where("t IS NOT NULL").withColumn("h", F.xxhash64("t"))
-    part = min(1.0, 20 * texts / max(1, df.count()))
+    part = min(1.0, 2 * texts / max(1, df.count()))
     rows = rows.where(F.pmod("h", F.lit(1 << 31)) < int(part * (1 << 31))).dropDuplicates(["h"]) if part < 1 else rows.dropDuplicates(["h"])
     sample = sorted(r.t for r in rows.orderBy("h").limit(texts).collect())
     if not sample:
