@@ -212,6 +212,59 @@ def test_sentences(model, parts):
     assert [text[a:b] for a, b in sentences.split(text, model)] == [text[a:b] for a, b in want]
 
 
+@pytest.mark.parametrize(
+    "lang, parts",
+    [
+        ("Armenian", ["Սա առաջինն է։", "Սա երկրորդն է։"]),
+        ("Myanmar", ["ဤသည်ပထမဖြစ်သည်။", "ဤသည်ဒုတိယဖြစ်သည်။"]),
+        ("Khmer", ["នេះជាទីមួយ។", "នេះជាទីពីរ។"]),
+        ("Tibetan", ["འདི་དང་པོ་རེད།", "འདི་གཉིས་པ་རེད།"]),
+        ("Greek", ["Πότε αρχίζει η δουλειά;", "Αρχίζει αύριο."]),
+        ("es", ["La oferta es para los técnicos de la casa.", "El sueldo es bueno."]),
+        ("de", ["Die Stelle ist noch frei und wir suchen eine Köchin.", "Das Gehalt ist gut."]),
+        ("tr", ["Bu ilan çok yeni ve açık.", "Maaş da iyi olarak belirlendi."]),
+        ("uk", ["Це нова робота для вас.", "Ми чекаємо на відповідь і документи."]),
+        ("fa", ["این کار برای شما است؟", "ما منتظر پاسخ می مانیم."]),
+        ("am", ["ይህ አዲስ ሥራ ነው።", "ደመወዙ ጥሩ ነው።"]),
+    ],
+)
+def test_scripts_and_languages(parts, lang):
+    """End marks of all scripts, without anything learned."""
+    text = " ".join(parts)
+    assert sentences.language(text) == {"am": "Ethiopic"}.get(lang, lang)
+    assert [text[a:b] for a, b in sentences.split(text, sentences.Model())] == parts
+
+
+def test_semicolons_end_greek_questions_only():
+    text = "We hire; we pay."
+    assert sentences.split(text, sentences.Model()) == [(0, len(text))]
+
+
+def test_a_large_model_is_mapped_from_a_file(spark, model, monkeypatch):
+    monkeypatch.setattr(sentences, "MODEL_ROWS", 0)
+    stored = learned(spark)
+    assert isinstance(stored, sentences.StoredModel)
+    names = ["dr", "mr", "st", "we", "the", "approx", "no such word"]
+    for kind in "SACL":
+        for w in names + [f"{a}\t{b}" for a in names for b in names]:
+            assert stored.get(kind, "en", w) == model.get(kind, "en", w)
+    texts = [(k, c.format(n="Jones") * 3) for k, c in enumerate(CORPUS)]
+    df = spark.createDataFrame(texts, "k int, t string")
+    one, two = (sorted(map(tuple, sentences.sentences(df, ["k"], "t", m).collect())) for m in (model, stored))
+    assert one == two and len(one) > 20
+
+
+def test_collocations_need_more_than_repetition(spark):
+    """A word and a small word that follow each other by chance as often as others are no collocation."""
+    rng = random.Random(8)
+    words = "alpha beta gamma delta kappa sigma omega".split()
+    texts = [" ".join(f"We saw {rng.choice(words)} and {rng.choice(words)}. {rng.choice(words)} was {rng.choice(words)}." for _ in range(6)) for _ in range(60)]
+    texts += ["He came at six p.m. sharp and we left. The shop was open at two p.m. sharp again."] * 12
+    rows = sentences.statistics(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    pairs = {r.a for r in rows if r.kind == "L"}
+    assert len(pairs) < 8, pairs  # of 49 pairs, nearly all met twice and more
+
+
 def test_units_cover_all_text(model):
     rng = random.Random(6)
     alphabet = ["Dr.", "We", "hire.", "\n", " ", "“", "”", "(", ")", "5.", "...", "!", '"', "x", "กข", "。", "|", ":", "‏"]
