@@ -30,19 +30,15 @@ def word_count(c: Column) -> Column:
 def nfc(df: DataFrame, column: str, out: str) -> DataFrame:
     """df with column in NFC as ``out``; nothing is folded or removed.
 
-    Spark has no normaliser, so this is an Arrow UDF. ASCII texts are NFC
-    already: the plan is split, and only the other rows reach Python (a CASE
-    would send all of them).
+    Spark has no normaliser, so this is an Arrow UDF over the one scan of df;
+    texts that are NFC already, as all of ASCII, are passed on as they are.
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+            yield s.map(lambda t: t if t.isascii() or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t), na_action="ignore")
 
-    plain = F.col(f"`{column}`").rlike(r"^\p{ASCII}*$")
-    ascii_ = df.where(plain | F.col(f"`{column}`").isNull()).withColumn(out, F.col(f"`{column}`"))
-    rest = df.where(~plain).withColumn(out, F.pandas_udf(run, "string")(F.col(f"`{column}`")))
-    return ascii_.unionByName(rest)
+    return df.withColumn(out, F.pandas_udf(run, "string")(F.col(f"`{column}`")))
 
 
 def protected_unchanged(before: Column, after: Column) -> Column:

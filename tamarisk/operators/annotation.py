@@ -24,11 +24,12 @@ def canonical_answer(answer: Column) -> Column:
     return F.when(said.isin(*LABELS), said)
 
 
-def answers(responses: DataFrame, strict: bool = False) -> DataFrame:
+def answers(responses: DataFrame, strict: bool = True) -> DataFrame:
     """Valid rows (seq, item_id, annotator_id, answer).
 
-    ``strict`` raises on an answer outside the labels when the rows are read;
-    otherwise such rows are left out.
+    An answer outside the labels raises when the rows are read, so that no
+    agreement is computed on fewer answers without a word; only where
+    ``strict`` is turned off are such rows left out.
     """
     label = canonical_answer(F.col("answer"))
     if strict:
@@ -132,6 +133,23 @@ def blind_items(cues: DataFrame, docs: DataFrame, item_id: Column) -> DataFrame:
     return cues.join(types, "doc_id").select(item_id.alias("item_id"), F.col("sentence_context").alias("sentence"), F.col("char_start").alias("cue_start"), F.col("char_end").alias("cue_end"), "doc_type")
 
 
+def sampling_manifest(cues: DataFrame, item_id: Column) -> DataFrame:
+    """(item_id, cue_id) of every cue: the restricted table that leads back from what annotators see.
+
+    It is apart from the items on purpose, and its writer must keep it from
+    annotators. An item id that two cues share raises when it is read.
+    """
+    rows = cues.select(item_id.alias("item_id"), "cue_id").distinct()
+    one = rows.groupBy("item_id").agg(F.min("cue_id").alias("cue_id"), F.max("cue_id").alias("last"))
+    shared = F.raise_error(F.concat(F.lit("two cues share the item id "), "item_id")).cast("string")
+    return one.select("item_id", F.when(F.col("cue_id") == F.col("last"), F.col("cue_id")).otherwise(shared).alias("cue_id"))
+
+
+def unblinded(rows: DataFrame, manifest: DataFrame) -> DataFrame:
+    """rows (with item_id) with the cue_id of their item; items the manifest doesn't name keep null."""
+    return rows.join(manifest, "item_id", "left")
+
+
 def assert_item_schema(items: DataFrame) -> None:
     """Raise unless the items have exactly the fields that may be shown."""
     if tuple(items.columns) != ITEM_FIELDS:

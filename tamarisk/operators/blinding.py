@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tamarisk.functions.text import hmac_sha256, keyed_token
+from tamarisk.session import cut
 
 
 class BlindingError(ValueError):
@@ -39,12 +40,15 @@ def token(cell: Column, key: bytes, length: int = 32, in_plan: bool = False) ->
 def blind_order(df: DataFrame, key: bytes, cell: Column, tie: str, in_plan: bool = False) -> DataFrame:
     """df with its blind token and its 1-based position in the order of tokens.
 
-    Positions come from a range-partitioned sort: rows are counted per leading
-    token digits and numbered within those, so no single task sorts all.
+    Positions come from a range-partitioned sort by token and ``tie``: rows are
+    counted per range and numbered within it, so no task sorts all, nor all
+    rows of one common cell. The ranges are sampled, so they are kept by a
+    checkpoint before they are counted.
     """
-    rows = df.withColumn("blind_token", token(cell, key, in_plan=in_plan)).withColumn("lead", F.substring("blind_token", 1, 3))
+    rows = df.withColumn("blind_token", token(cell, key, in_plan=in_plan)).repartitionByRange("blind_token", tie)
+    rows = cut(rows.withColumn("lead", F.spark_partition_id()))
     sizes = rows.groupBy("lead").agg(F.count("*").alias("n"))
-    before = W.partitionBy(F.lit(1)).orderBy("lead").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(F.lit(1)).orderBy("lead").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
     offsets = sizes.select("lead", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     own = F.row_number().over(W.partitionBy("lead").orderBy("blind_token", tie))
     return rows.join(F.broadcast(offsets), "lead").withColumn("position", own + F.col("offset")).drop("lead", "offset")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
-from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,14 +14,14 @@ class FreezeMismatch(Exception):
 
 
 def canonical(value: object) -> str:
-    """A value as text that doesn't depend on the order of mappings."""
-    if isinstance(value, Mapping):
-        return "{" + ",".join(f"{k}={canonical(value[k])}" for k in sorted(value, key=str)) + "}"
-    if isinstance(value, (list, tuple)):
-        return "[" + ",".join(map(canonical, value)) + "]"
-    if value is None or isinstance(value, bool):
-        return {None: "null", True: "true", False: "false"}[value]
-    return str(value)
+    """A value as text: {k=v,...} in the order of keys, [...], null, true and false, else str()."""
+    scalars = {type(None): "null", bool: str(value).lower()}
+    brackets, inner = "", []
+    if hasattr(value, "items"):
+        brackets, inner = "{}", [f"{k}={canonical(v)}" for k, v in sorted(value.items(), key=lambda kv: str(kv[0]))]
+    elif type(value) in (list, tuple):
+        brackets, inner = "[]", [canonical(v) for v in value]
+    return ",".join(inner).join(brackets) if brackets else scalars.get(type(value), str(value))
 
 
 @dataclass(frozen=True)
@@ -44,12 +43,10 @@ class Manifest:
 
 def components(spark: SparkSession, manifest: Manifest, read_source: Callable[[str], bytes]) -> DataFrame:
     """(name, digest) of every component; ``read_source`` supplies the bytes."""
-    hexed = lambda b: sha256(b).hexdigest()
-    rows = [(f"source:{p}", hexed(read_source(p))) for p in manifest.sources]
-    rows.append((f"lockfile:{manifest.lockfile}", hexed(read_source(manifest.lockfile))))
-    for name, value in (("config", manifest.config), ("corpus", manifest.corpus_checksums), ("models", manifest.model_pins)):
-        rows.append((name, hexed(canonical(value).encode())))
-    return spark.createDataFrame(rows, "name string, digest string")
+    files = {f"lockfile:{manifest.lockfile}": manifest.lockfile, **{f"source:{p}": p for p in manifest.sources}}
+    values = {"config": manifest.config, "corpus": manifest.corpus_checksums, "models": manifest.model_pins}
+    contents = {name: read_source(p) for name, p in files.items()} | {name: canonical(v).encode() for name, v in values.items()}
+    return spark.createDataFrame([(name, bytearray(b)) for name, b in contents.items()], "name string, content binary").select("name", F.sha2("content", 256).alias("digest"))
 
 
 def freeze_hash(parts: DataFrame) -> DataFrame:

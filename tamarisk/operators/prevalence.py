@@ -29,6 +29,19 @@ def prevalence(docs: DataFrame, cues: DataFrame, by: tuple[str, ...] = ("country
     return out.withColumn("cues_per_100_words", F.when(F.col("n_words") > 0, 100 * F.col("n_cues") / F.col("n_words")))
 
 
+def distribution(cues: DataFrame, by: tuple[str, ...] = ("pos", "tier")) -> DataFrame:
+    """(dimension, value, referent): cues and their share of the value's; abstentions are a referent of their own.
+
+    One scan: counts by all of ``by`` and the referent first, then by each of
+    them. A null value or referent is (none).
+    """
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
+    counts = cues.groupBy(*[cell(b).alias(b) for b in by], cell("referent").alias("referent")).agg(F.count("*").alias("n"))
+    each = counts.select(F.explode(F.array(*[F.struct(F.lit(b).alias("dimension"), F.col(b).alias("value")) for b in by])).alias("d"), "referent", "n")
+    sums = each.groupBy("d.dimension", "d.value", "referent").agg(F.sum("n").alias("n_cues"))
+    return sums.withColumn("share", F.col("n_cues") / F.sum("n_cues").over(W.partitionBy("dimension", "value")))
+
+
 def accuracy(rows: DataFrame) -> DataFrame:
     """Precision, recall, F1 and abstention rate by tier and morph_class, and of all together.
 
@@ -112,16 +125,28 @@ def matched_pools(targets: DataFrame, candidates: DataFrame, tolerance: float, s
 def register_violations(docs: DataFrame, cues: DataFrame) -> DataFrame:
     """(doc_id, register) of documents that break their register's invariant.
 
-    docs: doc_id, register. R1 needs a masculine cue that refers to the
-    applicant, R2 applicant cues of both genders, R3 none; R5 no cue at all.
+    docs: doc_id, register, and for R4 also set_id and text_norm. R1 needs a
+    masculine cue that refers to the applicant, R2 applicant cues of both
+    genders, R3 none; R5 no cue at all. R4, the placebo, needs masculine
+    applicant cues, no feminine ones, and as many words as the R2 of its set
+    (with an R2 of several lengths, as one of them); a set without R2 breaks it.
     """
     about = F.col("referent") == "applicant"
     n = cues.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(about & (F.col("gen") == "m")).alias("m"), F.count_if(about & (F.col("gen") == "f")).alias("f"), F.count_if(about).alias("a"))
-    rows = docs.select("doc_id", "register").distinct().join(n, "doc_id", "left").fillna(0, ["n", "m", "f", "a"])
+    placebo = F.lit(True)
+    if {"set_id", "text_norm"} <= set(docs.columns):
+        sized = docs.select("doc_id", "register", "set_id", word_count(F.col("text_norm")).alias("words"))
+        lengths = sized.where("register = 'R2'").groupBy("set_id").agg(F.collect_set("words").alias("lengths"))
+        sized = sized.join(lengths, "set_id", "left").groupBy("doc_id", "register").agg(F.bool_and(F.coalesce(F.array_contains("lengths", F.col("words")), F.lit(False))).alias("matched"))
+        placebo = F.col("matched")
+    else:
+        sized = docs.select("doc_id", "register").distinct()
+    rows = sized.join(n, "doc_id", "left").fillna(0, ["n", "m", "f", "a"])
     broken = (
         F.when(F.col("register") == "R1", F.col("m") == 0)
         .when(F.col("register") == "R2", (F.col("m") == 0) | (F.col("f") == 0))
         .when(F.col("register") == "R3", F.col("a") > 0)
+        .when(F.col("register") == "R4", (F.col("m") == 0) | (F.col("f") > 0) | ~placebo)
         .when(F.col("register") == "R5", F.col("n") > 0)
         .otherwise(False)
     )

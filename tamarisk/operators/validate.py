@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Closed vocabularies.
+#: Closed vocabularies. PENDING is what classify gives tier C before its target is resolved.
 VOCABULARIES = {
     "doc_type": ("ad", "cv"),
     "country": ("EG", "JO", "SA", "AE"),
     "seniority": ("entry", "mid", "senior", "unspecified"),
     "gen": ("m", "f"),
     "tier": ("A", "B", "C"),
-    "referent": ("applicant", "non_applicant", "ABSTAIN"),
+    "referent": ("applicant", "non_applicant", "ABSTAIN", "PENDING"),
     "abstain_reason": ("AB1", "AB2", "AB3", "AB4", "AB5", "AB6"),
 }
 

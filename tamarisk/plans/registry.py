@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from tamarisk.functions import cues, stats, text
 from tamarisk.operators import annotation, blinding, classify, freeze, inference, prevalence, reporting, sampling, scoring, target, twins, validate, variance
-from tamarisk.session import broadcast_if_small, table
+from tamarisk.session import broadcast_if_small, scratch_path, table
 from tamarisk.sources import corpus
+from tamarisk.sources.log import AnnotationLog
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -217,7 +218,7 @@ def content_ids(spark: SparkSession, d: str) -> DataFrame:
 _WORDS = r"len(list_filter(regexp_split_to_array(text_norm, '[\s\x0b\x1c-\x1f\x{85}\pZ]+'), lambda w: w <> ''))"
 
 
-@query(f"""WITH r AS (SELECT country, occupation, length(text_norm) AS chars, {_WORDS} AS tokens FROM doc_records),
+@query(f"""WITH r AS (SELECT country, coalesce(nullif(occupation, ''), '(unspecified)') AS occupation, length(text_norm) AS chars, {_WORDS} AS tokens FROM doc_records),
 g AS (SELECT grouping(country, occupation) AS g, country, occupation, count(*) AS n, avg(chars) AS c, avg(tokens) AS t FROM r GROUP BY GROUPING SETS ((), (country), (occupation)))
 SELECT CASE g WHEN 3 THEN 'all' WHEN 1 THEN 'country' ELSE 'occupation' END AS dimension, CASE g WHEN 3 THEN 'all' WHEN 1 THEN country ELSE occupation END AS value,
 n, round(c, 6) AS mean_chars, round(t, 6) AS mean_tokens FROM g""")
@@ -266,7 +267,7 @@ l AS (SELECT annotator_id, item_id, max_by(answer, seq) AS answer, max(seq) AS s
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
-    return annotation.answers(table(spark, d, "annotation_responses"))
+    return annotation.answers(table(spark, d, "annotation_responses"), strict=False)
 
 
 @query(_ANSWERS + "SELECT * FROM l")
@@ -682,14 +683,158 @@ def normal_cdf(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), r6(stats.normal_cdf((F.col("s_suppkey") % 121 - 60) / 10)).alias("phi"))
 
 
-@query(None)
+@query(_KAPPA + "SELECT *, CASE WHEN kappa IS NULL THEN 'undefined' WHEN kappa < 0.7 THEN 'below_floor' ELSE 'usable' END AS gate_status FROM g")
 def streaming_kappa(spark: SparkSession, d: str) -> DataFrame:
     """Kappas kept up to date over the log read as a stream, run until it is read up."""
-    from tamarisk.session import scratch_path
     from tamarisk.streaming import annotations
 
     source = table(spark, d, "annotation_responses").select("seq", "item_id", "annotator_id", "answer", F.col("answered_at").alias("timestamp"), "comment")
     log, out, marks = (scratch_path(spark, f"kappa-{x}") for x in ("log", "out", "marks"))
     source.write.json(log)
     annotations.start_kappa(annotations.read(spark, log), out, marks).awaitTermination()
-    return spark.read.parquet(out)
+    k = annotations.kappas(spark, out)
+    return k.select("annotator_a", "annotator_b", "n_items", *[r6(c).alias(c) for c in ("po", "pe", "kappa", "unclear_rate")], "undefined_reason", "gate_status")
+
+
+# --- sources: the tables written as the files that are read -------------------------------
+
+_TEXT = r"regexp_replace(regexp_replace(text_raw, '\r\n?', chr(10), 'g'), '^[\s\x0b\x1c-\x1f\x{85}\pZ]+|[\s\x0b\x1c-\x1f\x{85}\pZ]+$', '', 'g')"
+_NAMES = {"EG": "Egypt", "JO": "Jordan", "SA": "Saudi Arabia", "AE": "UAE"}
+
+
+def _csv(spark: SparkSession, d: str) -> str:
+    """doc_records as the corpus's CSV; countries by turns, as the table's are dirty."""
+    names = F.array(*map(F.lit, _NAMES.values()))
+    rows = table(spark, d, "doc_records").select(
+        F.regexp_replace("text_raw", r"\r\n?", "\n").alias("description"),
+        F.get(names, (F.col("record_seq") % 4).cast("int")).alias("country"),
+        F.coalesce("occupation", F.lit("")).alias("profession"),
+        F.when(F.col("record_seq") % 3 == 0, " male ").when(F.col("record_seq") % 3 == 1, "female").otherwise("").alias("gender"),
+    )
+    path = scratch_path(spark, "corpus")
+    rows.write.csv(path, header=True, quoteAll=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return path
+
+
+@query(f"""WITH r AS (SELECT {_TEXT} AS t, ['EG', 'JO', 'SA', 'AE'][record_seq % 4 + 1] AS country, coalesce(occupation, '') AS o FROM doc_records)
+SELECT substr(sha256(t), 1, 16) AS doc_id, 'ad' AS doc_type, sha256(nfc_normalize(t)) AS norm_hash, country, regexp_replace(o, '^\\s+|\\s+$', '', 'g') AS occupation, 'unspecified' AS seniority, sha256(t) AS source_checksum, count(*) AS n
+FROM r WHERE t <> '' GROUP BY ALL""")
+def corpus_load(spark: SparkSession, d: str) -> DataFrame:
+    """Records of a CSV scan; equal ones counted."""
+    docs = corpus.load(spark, _csv(spark, d))
+    return docs.groupBy("doc_id", "doc_type", F.sha2("text_norm", 256).alias("norm_hash"), "country", "occupation", "seniority", "source_checksum").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH r AS (SELECT {_TEXT} AS t, record_seq % 3 AS g FROM doc_records)
+SELECT ['male', 'female', 'unknown'][g + 1] AS label, count(*) AS n FROM r WHERE t <> '' GROUP BY 1""")
+def corpus_labels(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.label_counts(corpus.scan(spark, _csv(spark, d)))
+
+
+@query(_ANSWERS + "SELECT count(*) AS n_rows, count(DISTINCT item_id) AS n_items, count(DISTINCT annotator_id) AS n_annotators, sum(seq)::BIGINT AS seqs, count(*) FILTER (answer = 'unclear') AS n_unclear FROM v WHERE annotator_id <> '' AND item_id IS NOT NULL")
+def log_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The valid answers appended to a log in two batches and read back."""
+    log = AnnotationLog(spark, scratch_path(spark, "log"))
+    rows = _answers(spark, d).select("seq", "item_id", "annotator_id", "answer", F.lit(None).cast("string").alias("timestamp"), F.lit(None).cast("string").alias("comment"))
+    for half in (0, 1):
+        log.append(rows.where(F.pmod(F.hash("item_id"), F.lit(2)) == half))
+    return log.responses().agg(F.count("*").alias("n_rows"), F.count_distinct("item_id").alias("n_items"), F.count_distinct("annotator_id").alias("n_annotators"), F.sum("seq").alias("seqs"), F.count_if(F.col("answer") == "unclear").alias("n_unclear"))
+
+
+# --- what the sections above leave open ------------------------------------------------------
+
+
+@query("""SELECT DISTINCT i.item_id, c.cue_id FROM (SELECT DISTINCT substr(sha256('item:' || cue_id), 1, 12) AS item_id FROM tagged_cues JOIN doc_records USING (doc_id)) i
+JOIN (SELECT DISTINCT cue_id, substr(sha256('item:' || cue_id), 1, 12) AS item_id FROM tagged_cues) c USING (item_id)""")
+def manifest_rejoin(spark: SparkSession, d: str) -> DataFrame:
+    """Blinded items led back to their cues by the restricted manifest."""
+    opaque = F.substring(F.sha2(F.concat(F.lit("item:"), "cue_id"), 256), 1, 12)
+    return annotation.unblinded(blind_items(spark, d).select("item_id").distinct(), annotation.sampling_manifest(table(spark, d, "tagged_cues"), opaque))
+
+
+@query("SELECT DISTINCT cue_id, list_filter(['r', 'i', 'n'], lambda x: list_contains(rat_candidates, x)) AS candidates FROM tagged_cues WHERE rat_candidates IS NOT NULL")
+def candidate_sets(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "tagged_cues").where("rat_candidates IS NOT NULL")
+    return rows.select("cue_id", cues.canonical_set(F.col("rat_candidates")).alias("candidates")).distinct()
+
+
+@query("""SELECT * FROM (VALUES ('config', sha256('{theta_high=0.75,theta_low=0.3}'), sha256('{theta_high=0.7,theta_low=0.3}')), ('source:code.txt', NULL, sha256('contents of code.txt')),
+('source:more.txt', sha256('contents of more.txt'), NULL)) t(name, current, frozen)""")
+def freeze_drift(spark: SparkSession, d: str) -> DataFrame:
+    """A changed setting, a source that is gone and one that is new."""
+    now = freeze.Manifest(("plan.txt", "more.txt"), "lock.txt", {"theta_high": 0.75, "theta_low": 0.3}, {"ads": "00ff"}, {"model": "1.5.2"})
+    return freeze.drift(freeze.components(spark, now, lambda path: f"contents of {path}".encode()), _frozen(spark))
+
+
+@query(f"""SELECT * FROM (VALUES ('same hash', true), ('other hash', false), ('anchor', true), ('anchor without reference', false), ('no anchor', false)) t(check_name, passes)""")
+def freeze_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Which checks of a freeze pass and which raise."""
+    parts = _frozen(spark)
+    checks = {
+        "same hash": lambda: freeze.verify(parts, freeze.freeze_hash(parts).first()[0]),
+        "other hash": lambda: freeze.verify(parts, "0" * 64),
+        "anchor": lambda: freeze.require_anchor({"service": "a time stamp service", "reference": "17"}),
+        "anchor without reference": lambda: freeze.require_anchor({"service": "a time stamp service"}),
+        "no anchor": lambda: freeze.require_anchor(None),
+    }
+    rows = []
+    for name, check in checks.items():
+        try:
+            check()
+            rows.append((name, True))
+        except freeze.FreezeMismatch:
+            rows.append((name, False))
+    return spark.createDataFrame(rows, "check_name string, passes boolean")
+
+
+@query(_TWINS + """, r AS (SELECT n.doc_id AS pair_id, nf, count(a.kind) AS k FROM n LEFT JOIN a ON a.pair_id = n.doc_id GROUP BY ALL)
+SELECT pair_id, CASE WHEN k = 0 THEN pair_id || ': symmetric (' || nf || ' cues)' ELSE pair_id || ': ASYMMETRIC (' || k || ' differences)' END AS text FROM r""")
+def twin_texts(spark: SparkSession, d: str) -> DataFrame:
+    return twins.describe(twins.report(_twins(spark, d)))
+
+
+@query(f"""WITH a AS ({ORACLES["holm"]}) SELECT family, family || ': ' || count(*) FILTER (reject) || ' of ' || count(*) || ' tests rejected after Holm''s correction' AS summary FROM a GROUP BY 1""")
+def holm_summaries(spark: SparkSession, d: str) -> DataFrame:
+    return inference.holm_summary(inference.holm(_p_values(spark, d)))
+
+
+_CELL_SQL = f"""SELECT label, p, CASE WHEN p < 0.5 THEN 'inconclusive' WHEN eq THEN 'equivalent-within-margin' WHEN sig THEN 'difference-detected' ELSE 'inconclusive' END AS verdict,
+CASE WHEN p < 0.5 THEN 'achieved power is below the floor' WHEN eq THEN 'both one-sided tests reject' WHEN sig THEN 'the interval excludes zero' ELSE 'neither a difference nor equivalence was shown' END AS reason
+FROM (SELECT id::VARCHAR AS label, (id % 101) / 100.0 AS p, id % 3 = 0 AS eq, id % 2 = 0 AS sig FROM ({_TESTS}))"""
+
+
+@query(f"""WITH v AS ({_CELL_SQL}), i AS ({ORACLES["interval_text"]})
+SELECT '# Results' || chr(10) || chr(10) || '## Intervals' || chr(10) || '- **all**: ' || (SELECT text FROM i) || chr(10) || chr(10) || '## Cell verdicts' || chr(10) ||
+(SELECT string_agg('- **' || label || '**: ' || verdict || ' (power ' || printf('%.3f', p::DOUBLE) || ' vs floor 0.500): ' || reason, chr(10) ORDER BY label) FROM v) || chr(10) || chr(10) ||
+'## Abstentions' || chr(10) || chr(10) || 'Abstention rate: 0.1250. Abstained cues are a category of their own.' || chr(10) AS report""")
+def report_text(spark: SparkSession, d: str) -> DataFrame:
+    """The whole report of an interval and all cells, as one text."""
+    k = F.col("id")
+    cells = _tests(spark, d).select(k.cast("string").alias("label"), (k % 101 / 100).alias("achieved_power"), F.lit(0.5).alias("power_floor"), (k % 3 == 0).alias("equivalent"), (k % 2 == 0).alias("significant"))
+    intervals = variance.cluster_robust(_differences(spark, d)).select(F.lit("all").alias("label"), reporting.interval_text().alias("text"))
+    return spark.createDataFrame([(reporting.render(intervals, reporting.verdicts(cells), 0.125),)], "report string")
+
+
+@query("""WITH c AS (SELECT cue_id, min(token) AS token, min(head_token) AS head, min(referent) AS referent FROM tagged_cues WHERE cue_id IS NOT NULL GROUP BY 1),
+h AS (SELECT token AS target_id, CASE WHEN count(DISTINCT referent) = 1 THEN min(referent) ELSE 'ABSTAIN' END AS head_referent FROM c WHERE token IS NOT NULL GROUP BY 1)
+SELECT cue_id, head AS target_id, CASE WHEN head IS NULL OR coalesce(head_referent, 'ABSTAIN') = 'ABSTAIN' THEN 'ABSTAIN' ELSE head_referent END AS referent,
+CASE WHEN head IS NULL THEN 'AB2' WHEN coalesce(head_referent, 'ABSTAIN') = 'ABSTAIN' THEN 'AB3' END AS abstain_reason FROM c LEFT JOIN h ON h.target_id = c.head""")
+def inherited_referents(spark: SparkSession, d: str) -> DataFrame:
+    """Cues with the referent of their head token; a token whose cues disagree abstains."""
+    c = table(spark, d, "tagged_cues").where("cue_id IS NOT NULL").groupBy("cue_id").agg(F.min("token").alias("token"), F.min("head_token").alias("target_id"), F.min("referent").alias("referent"))
+    heads = c.where("token IS NOT NULL").groupBy(F.col("token").alias("target_id")).agg(F.count_distinct("referent").alias("k"), F.min("referent").alias("r"))
+    heads = heads.select("target_id", F.when(F.col("k") == 1, F.col("r")).otherwise("ABSTAIN").alias("referent"))
+    return prevalence.inherited(c.select("cue_id"), c.select("cue_id", "target_id"), heads)
+
+
+@query("""WITH c AS (SELECT coalesce(pos, '(none)') AS pos, coalesce(tier, '(none)') AS tier, coalesce(referent, '(none)') AS referent FROM tagged_cues),
+e AS (SELECT 'pos' AS dimension, pos AS value, referent FROM c UNION ALL SELECT 'tier', tier, referent FROM c)
+SELECT dimension, value, referent, count(*) AS n_cues, round(count(*) / sum(count(*)) OVER (PARTITION BY dimension, value), 6) AS share FROM e GROUP BY 1, 2, 3""")
+def cue_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return prevalence.distribution(table(spark, d, "tagged_cues")).withColumn("share", r6("share"))
+
+
+@query("""SELECT ad, pair, round(f - m, 6) AS difference FROM (SELECT 's' || s_suppkey AS ad, 'n' || s_nationkey AS pair, s_acctbal AS f, s_suppkey % 100 AS m FROM supplier)""")
+def score_differences(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("ad"), F.concat(F.lit("n"), "s_nationkey").alias("pair"), F.col("s_acctbal").alias("score_f"), (F.col("s_suppkey") % 100).alias("score_m"))
+    return s.select("ad", "pair", F.round(scoring.difference(), 6).alias("difference"))

@@ -80,9 +80,11 @@ def label_counts(rows: DataFrame, label: str = "gender", text: str = "descriptio
 def describe(docs: DataFrame) -> DataFrame:
     """(dimension, value, n, mean_chars, mean_tokens): all, by country, by occupation.
 
-    One scan and one shuffle by grouping sets.
+    An empty or null occupation is (unspecified). One scan and one shuffle by
+    grouping sets.
     """
-    rows = docs.select("country", "occupation", F.length("text_norm").alias("chars"), word_count(F.col("text_norm")).alias("tokens"))
+    named = F.when(F.coalesce("occupation", F.lit("")) == "", "(unspecified)").otherwise(F.col("occupation")).alias("occupation")
+    rows = docs.select("country", named, F.length("text_norm").alias("chars"), word_count(F.col("text_norm")).alias("tokens"))
     sets = rows.groupingSets([[], ["country"], ["occupation"]], "country", "occupation").agg(
         F.grouping_id().alias("g"), F.count("*").alias("n"), F.avg("chars").alias("mean_chars"), F.avg("tokens").alias("mean_tokens")
     )
@@ -94,6 +96,21 @@ def describe(docs: DataFrame) -> DataFrame:
     return sets.select(dimension.alias("dimension"), value.alias("value"), "n", "mean_chars", "mean_tokens")
 
 
+def summary(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`describe` of a corpus file, with the source's own labels and the file's checksum.
+
+    Rows of dimension source_label count rows with text by label; the row of
+    dimension checksum has it as value. A corpus without text raises.
+    """
+    rows = scan(spark, path)
+    docs = records(rows)
+    assert_not_empty(docs)
+    none = F.lit(None).cast("double")
+    labels = label_counts(rows).select(F.lit("source_label").alias("dimension"), F.col("label").alias("value"), "n", none.alias("mean_chars"), none.alias("mean_tokens"))
+    digest = spark.range(1).select(F.lit("checksum").alias("dimension"), F.lit(file_checksum(spark, path)).alias("value"), F.lit(None).cast("bigint").alias("n"), none.alias("mean_chars"), none.alias("mean_tokens"))
+    return describe(docs).unionByName(labels).unionByName(digest)
+
+
 def assert_not_empty(docs: DataFrame) -> None:
     if docs.isEmpty():
         raise EmptyCorpus("the corpus has no document with text")

@@ -26,10 +26,36 @@ class AnnotationLog:
         fields = [f for f in RESPONSE.replace(" bigint", "").replace(" string", "").split(", ") if f in responses.columns]
         responses.select(*sorted(fields)).write.mode("append").json(self.path)
 
-    def responses(self) -> DataFrame:
-        """All rows; a malformed line raises. Order is that of seq."""
+    def responses(self, check: bool = True) -> DataFrame:
+        """All rows; a malformed line raises. Order is that of seq, and blank lines count nothing.
+
+        ``check`` reads the log once beforehand, so that the error names file
+        and line; without it the error comes when the rows are read.
+        """
+        if check:
+            bad = self.bad_lines().limit(3).collect()
+            if bad:
+                raise ValueError("not valid JSON: " + "; ".join(f"{file}:{line}: {text}" for file, line, text in bad))
         return self.spark.read.schema(RESPONSE).option("mode", "FAILFAST").json(self.path)
 
+    def bad_lines(self) -> DataFrame:
+        """(file, line, text) of lines that aren't JSON objects, counted from 1.
+
+        Only files that have such lines are read again, one after another, to
+        count the lines before them.
+        """
+        broken = lambda rows: rows.where((F.trim("value") != "") & F.coalesce(F.try_parse_json("value").isNull() | ~F.trim("value").startswith("{"), F.lit(True)))
+        files = broken(self.spark.read.text(self.path).select("value", "_metadata.file_path")).select("file_path").distinct()
+        found = []
+        for r in files.toLocalIterator():
+            lines = self.spark.read.text(r.file_path).rdd.map(lambda x: x.value).zipWithIndex()
+            rows = lines.map(lambda x: (x[1] + 1, x[0])).toDF("line bigint, value string")
+            found.append(broken(rows).select(F.lit(r.file_path).alias("file"), "line", F.col("value").alias("text")))
+        out = self.spark.createDataFrame([], "file string, line bigint, text string")
+        for f in found:
+            out = out.unionByName(f)
+        return out.orderBy("file", "line")
+
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
     """Items of JSON lines with exactly their five fields; an unknown doc_type raises."""

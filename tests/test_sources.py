@@ -34,6 +34,11 @@ def test_corpus(spark, tmp_path, bom):
     stats = {(r.dimension, r.value): r.n for r in corpus.describe(docs).collect()}
     assert stats["all", "all"] == 4 and stats["occupation", "cook"] == 2
     assert [r.category for r in corpus.top_categories(docs, k=2).collect()] == ["cook", "guard"]
+    whole = {(r.dimension, r.value): r for r in corpus.summary(spark, path).collect()}
+    assert whole["source_label", "male"].n == 2 and whole["all", "all"].n == 4
+    assert next(v for k, v in whole if k == "checksum") == corpus.file_checksum(spark, path)
+    unnamed = docs.withColumn("occupation", F.when(F.col("text_raw") == "third", "").when(F.col("text_raw") == "fourth", None).otherwise("x"))
+    assert {(r.value, r.n) for r in corpus.describe(unnamed).where("dimension = 'occupation'").collect()} == {("(unspecified)", 2), ("x", 2)}
     assert corpus.file_checksum(spark, path) == hashlib.sha256((tmp_path / "ads.csv").read_bytes()).hexdigest()
 
 
@@ -44,6 +49,8 @@ def test_corpus_failures(spark, tmp_path):
         corpus.load(spark, csv(tmp_path / "x.csv", ("a", "text", "m", "France"))).collect()
     with pytest.raises(corpus.EmptyCorpus):
         corpus.assert_not_empty(corpus.load(spark, csv(tmp_path / "y.csv", ("a", " ", "m", "Egypt"))))
+    with pytest.raises(corpus.EmptyCorpus):
+        corpus.summary(spark, str(tmp_path / "y.csv"))
 
 
 def responses(spark, *rows):
@@ -59,9 +66,14 @@ def test_log_is_append_only(spark, tmp_path):
     for bad in (("i", "A", "maybe"), ("i", "", "unclear"), ("i", "A", None)):
         with pytest.raises(ValueError):
             store.append(responses(spark, bad))
-    (tmp_path / "log" / "part-x.json").write_text("not json\n")
+    (tmp_path / "log" / "part-x.json").write_text('{"item_id": "i1"}\n\n  \nnot json\n{"item_id": "i2"}\n[1]\n')
+    with pytest.raises(ValueError, match=r"part-x\.json:4: not json; .*part-x\.json:6"):
+        store.responses()
     with pytest.raises(Exception):
-        store.responses().collect()
+        store.responses(check=False).collect()
+    assert [(r.line, r.text) for r in store.bad_lines().collect()] == [(4, "not json"), (6, "[1]")]
+    (tmp_path / "log" / "part-x.json").unlink()
+    assert store.bad_lines().count() == 0 and store.responses().count() == 2
 
 
 def test_unblinding_is_logged_once(spark, tmp_path):
@@ -103,7 +115,10 @@ def test_stream_equals_batch(spark, tmp_path):
         data.where(F.col("seq") % 3 == part).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     stream = annotations.read(spark, str(tmp_path / "in"), max_files=1)
     annotations.start_kappa(stream, str(tmp_path / "out"), str(tmp_path / "marks")).awaitTermination()
-    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).drop("gate_status").collect()))
+    got = sorted(map(tuple, annotations.kappas(spark, str(tmp_path / "out")).drop("gate_status").collect()))
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("version=")]) <= 2
+    with pytest.raises(FileNotFoundError):
+        annotations.kappas(spark, str(tmp_path / "none"))
     assert got == sorted(map(tuple, annotation.kappa_pairs(annotation.answers(data)).collect()))
     query = annotations.rates(stream).writeStream.outputMode("append").format("memory").queryName("rates").option("checkpointLocation", str(tmp_path / "m2")).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -114,6 +114,16 @@ def test_generator_ignores_partitions(spark):
     assert a == b and len(a) == 400
 
 
+def test_empty_and_large_designs(spark, monkeypatch):
+    ids = spark.range(7).select(F.col("id").cast("string"))
+    for a, b in ((ids.where("false"), ids), (ids, ids.where("false"))):
+        with pytest.raises(ValueError, match="empty design"):
+            scoring.Synthetic().score_pairs(a, b)
+    small = sorted(map(tuple, scoring.Synthetic().score_pairs(ids, ids).collect()))
+    monkeypatch.setattr(scoring, "BROADCAST_ROWS", 2)  # blocks in place of a broadcast
+    assert sorted(map(tuple, scoring.Synthetic().score_pairs(ids, ids).collect())) == small and len(small) == 49
+
+
 def test_holm(spark):
     df = spark.createDataFrame([("f", "a", 0.01), ("f", "b", 0.04), ("f", "c", 0.05), ("g", "x", 0.9)], "family string, label string, p_value double")
     got = {r.label: (r.p_adjusted, r.reject) for r in inference.holm(df).collect()}
