@@ -11,6 +11,7 @@ is still open.
 from __future__ import annotations
 
 import json
+import os
 from collections import ChainMap
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
@@ -18,7 +19,8 @@ from functools import cached_property, lru_cache
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -121,8 +123,14 @@ class ByteBPE:
 
 @lru_cache(maxsize=4)
 def load(path: str) -> ByteBPE:
-    """The vocabulary, once per worker process."""
-    return ByteBPE(path)
+    """The vocabulary, once per worker process: from its path, else as the driver shipped it."""
+    return ByteBPE(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
+
+
+def _shipped(path: str) -> str:
+    """The path, its file also sent along for executors that don't have it there."""
+    SparkSession.active().sparkContext.addFile(path)
+    return path
 
 
 def _slices(texts: pd.Series, chars: int) -> Iterator[slice]:
@@ -139,6 +147,7 @@ def _slices(texts: pd.Series, chars: int) -> Iterator[slice]:
 
 def token_ids(text: Column, path: str, batch_chars: int = 2_000_000) -> Column:
     """The ids of a text column as array<int>."""
+    path = _shipped(path)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = load(path)
@@ -181,7 +190,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "bytes", tokenizer: str =
 
     Of ids from :func:`encode` these are the text's UTF-8 bytes.
     """
-    path = f"{tokenizer_dir}/{tokenizer}.json"
+    path = _shipped(f"{tokenizer_dir}/{tokenizer}.json")
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = load(path)

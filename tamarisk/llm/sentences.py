@@ -27,6 +27,8 @@ from tamarisk.session import cut, scratch_path
 
 #: Rows of a model that is kept in memory; a larger one is kept in a file.
 MODEL_ROWS = 1_000_000
+#: Texts a worker keeps the sentences of.
+KEPT_TEXTS = 20_000
 #: Distinct keys a worker counts before it passes partial counts on.
 FLUSH_KEYS = 200_000
 
@@ -90,9 +92,8 @@ def _letters(runs: regex.Pattern, text: str) -> int:
 def _by_words(text: str, script: str) -> str:
     """The script's language with the most function words in a text; the first where there are none."""
     known, found = _BY_WORD[script], Counter()
-    for w in set(text.lower().split()):
-        for lang in known.get(w, ()):
-            found[lang] += 1
+    for w in known.keys() & text.lower().split():
+        found.update(known[w])
     names = list(_FUNCTION_WORDS[script])
     if not text.isascii():
         for lang in names:
@@ -647,8 +648,12 @@ def sentences(df: DataFrame, keys: list[str], text: str, model: Model) -> DataFr
     bound = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, list[tuple[int, int]]] = {}  # texts that come again, as cues of one sentence do, are split once
         for batch in batches:
-            found = [split(t, bound.value) for t in batch[text]]
+            if len(known) > KEPT_TEXTS:
+                known.clear()
+            texts = batch[text].tolist()
+            found = [known[t] if t in known else known.setdefault(t, split(t, bound.value)) for t in texts]
             sizes = [len(f) for f in found]
             rows = batch[keys].loc[batch.index.repeat(sizes)].reset_index(drop=True)
             flat = [x for f in found for x in f]

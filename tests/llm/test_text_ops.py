@@ -78,6 +78,17 @@ def test_decoding_returns_the_bytes(spark):
     assert got == {k: (x or "").encode() for k, x in enumerate(TEXTS)}
 
 
+def test_vocabulary_is_shipped(spark, tmp_path):
+    """A vocabulary that only the driver has at its path reaches the workers."""
+    import shutil
+
+    shutil.copy(f"{bpe.TOKENIZER_DIR}/byte_bpe_50k.json", tmp_path / "own.json")
+    df = spark.createDataFrame([("one two",)], "text string")
+    out = bpe.encode(df, tokenizer="own", tokenizer_dir=str(tmp_path))
+    (tmp_path / "own.json").unlink()
+    assert out.first().ids == reference().encode("one two", add_special_tokens=False).ids
+
+
 def test_containers(spark):
     rng = random.Random(2)
     data = [(k, rng.randint(0, 700)) for k in range(400)] + [(3, 5), (3, 5), (900, None), (901, 0), (902, 256), (903, 5000), (None, 7)]
