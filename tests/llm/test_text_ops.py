@@ -79,14 +79,16 @@ def test_decoding_returns_the_bytes(spark):
 
 
 def test_vocabulary_is_shipped(spark, tmp_path):
-    """A vocabulary that only the driver has at its path reaches the workers."""
+    """A vocabulary that is missing at its path is read from the files sent to the workers."""
     import shutil
 
+    from pyspark import SparkFiles
+
     shutil.copy(f"{bpe.TOKENIZER_DIR}/byte_bpe_50k.json", tmp_path / "own.json")
     df = spark.createDataFrame([("one two",)], "text string")
-    out = bpe.encode(df, tokenizer="own", tokenizer_dir=str(tmp_path))
-    (tmp_path / "own.json").unlink()
-    assert out.first().ids == reference().encode("one two", add_special_tokens=False).ids
+    want = reference().encode("one two", add_special_tokens=False).ids
+    assert bpe.encode(df, tokenizer="own", tokenizer_dir=str(tmp_path)).first().ids == want
+    assert bpe.load(str(tmp_path / "elsewhere" / "own.json")).encode_batch(["one two"])[0].tolist() == want and SparkFiles.get("own.json")
 
 
 def test_containers(spark):
