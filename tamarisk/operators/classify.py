@@ -74,6 +74,10 @@ def classify(
     return df.select(*keep, verdict.alias("__v")).select(*keep, "__v.tier", "__v.referent", "__v.abstain_reason")
 
 
+#: Calibrated cases gathered in one row of a sweep.
+CASE_BLOCK = 10_000
+
+
 def grid(spark: SparkSession, steps: int) -> DataFrame:
     """All pairs of i / steps with theta_low <= theta_high."""
     axis = spark.range(0, steps + 1)
@@ -85,13 +89,20 @@ def grid(spark: SparkSession, steps: int) -> DataFrame:
 def sweep(pairs: DataFrame, cases: DataFrame) -> DataFrame:
     """Whether each case (label, mass_r, mass_i, expected) holds at each pair.
 
-    Cases are a handful of calibrated fixtures; they are gathered in one row
-    so that the sweep is a projection of the grid, whatever its size.
+    The result has a row per case and pair, as that is the question. Cases are
+    a handful of calibrated fixtures as a rule; they are gathered in one row,
+    so that the sweep is a projection of the grid, whatever its size. More than
+    ``CASE_BLOCK`` are gathered in rows of about so many, which meet the grid by an equi-join.
     """
-    if cases.limit(10_001).count() > 10_000:
-        raise ValueError("over 10,000 cases; sweep them in parts")
-    one = cases.agg(F.array_sort(F.collect_list(F.struct("label", "mass_r", "mass_i", "expected"))).alias("cases"))
-    each = pairs.join(F.broadcast(one)).withColumn("c", F.explode("cases"))
+    n = cases.count()
+    gathered = F.array_sort(F.collect_list(F.struct("label", "mass_r", "mass_i", "expected"))).alias("cases")
+    if n <= CASE_BLOCK:
+        each = pairs.join(F.broadcast(cases.agg(gathered)))
+    else:
+        blocks = -(-n // CASE_BLOCK)
+        packed = cases.groupBy(F.pmod(F.xxhash64("label", "mass_r", "mass_i"), F.lit(blocks)).alias("block")).agg(gathered)
+        each = pairs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(packed, "block").drop("block")
+    each = each.withColumn("c", F.explode("cases"))
     got = resolve(F.col("c.mass_r"), F.col("c.mass_i"), F.col("theta_high"), F.col("theta_low"))
     return each.select("theta_high", "theta_low", F.col("c.label").alias("label"), got.eqNullSafe(F.col("c.expected")).alias("ok"))
 

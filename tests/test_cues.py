@@ -104,3 +104,12 @@ def test_sweep_reproduces_published_counts(spark):
     no = spark.createDataFrame([("a", 0.9, 0.1, "r"), ("b", 0.9, 0.1, "i")], schema)
     empty = classify.feasible(classify.sweep(grid, no))
     assert empty.count() == 0 and classify.ranges(empty).first()[0] is None
+
+
+def test_sweep_of_many_cases(spark, monkeypatch):
+    """Cases beyond a block give the same rows."""
+    grid = classify.grid(spark, 10)
+    cases = spark.createDataFrame([(f"c{k}", k / 40, 1 - k / 40, ("r", "i", None)[k % 3]) for k in range(40)], "label string, mass_r double, mass_i double, expected string")
+    one = sorted(map(tuple, classify.sweep(grid, cases).collect()))
+    monkeypatch.setattr(classify, "CASE_BLOCK", 7)
+    assert sorted(map(tuple, classify.sweep(grid, cases).collect())) == one and len(one) == 40 * 66
