@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarisk.llm.abuse_labels import ABUSIVE, NEUTRAL, SLOTS
+from tamarisk.session import cut
 
 #: Bound of the labelled sample: copies made of each labelled sentence.
 COPIES = 12
@@ -37,6 +38,8 @@ WINDOW = 24
 PIECE = 24
 #: Unlabelled texts of the corpus that the model is adapted to, at most.
 BACKGROUND = 4_000
+#: Characters they have together, at most.
+BACKGROUND_CHARS = 20_000_000
 #: A passage in more than this share of them, and in more than so many, is ordinary.
 COMMON_SHARE, COMMON_TEXTS = 0.005, 20
 #: Score from which a text counts as a case.
@@ -416,10 +419,11 @@ def trained() -> Model:
 _ADAPTED: dict[str, Model] = {}
 
 
-def adapted(df: DataFrame, text: str = "text", texts: int = BACKGROUND) -> Model:
+def adapted(df: DataFrame, text: str = "text", texts: int = BACKGROUND, chars: int = BACKGROUND_CHARS) -> Model:
     """The model of the labelled sample and of ``texts`` whole texts of the corpus, without labels.
 
-    The texts are different ones, chosen by their hash, so that the sample is
+    The texts are different ones, chosen by their hash, as many as have
+    ``chars`` characters together, so that the sample fits the driver and is
     the same in every run and partitioning and no text that is repeated very
     often fills it. One scan; about twice as many are kept until
     repeats are dropped. Of an empty table this is :func:`trained`.
@@ -427,7 +431,14 @@ def adapted(df: DataFrame, text: str = "text", texts: int = BACKGROUND) -> Model
     rows = df.select(F.col(f"`{text}`").cast("string").alias("t")).where("t IS NOT NULL").withColumn("h", F.xxhash64("t"))
     part = min(1.0, 2 * texts / max(1, df.count()))
     rows = rows.where(F.pmod("h", F.lit(1 << 31)) < int(part * (1 << 31))).dropDuplicates(["h"]) if part < 1 else rows.dropDuplicates(["h"])
-    sample = sorted(r.t for r in rows.orderBy("h").limit(texts).collect())
+    rows = cut(rows)
+    sizes = rows.select("h", F.length("t").alias("n")).orderBy("h").limit(texts).collect()
+    chosen, room = [], chars
+    for r in sizes:
+        if r.n <= room:
+            chosen.append(r.h)
+            room -= r.n
+    sample = sorted(r.t for r in rows.where(F.col("h").isin(chosen)).collect()) if chosen else []
     if not sample:
         return trained()
     key = hashlib.sha256("\0".join(sample).encode("utf-8", "surrogatepass")).hexdigest()

@@ -256,6 +256,8 @@ def test_adapting_to_a_table(spark):
     df = spark.createDataFrame(texts, "doc_id int, text string")
     assert abuse.adapted(df) is abuse.adapted(df.repartition(7)) and abuse.adapted(df, texts=5) is abuse.adapted(df.repartition(3), texts=5)
     assert abuse.adapted(df.where("false")) is abuse.trained()
+    long = df.union(spark.createDataFrame([(k, "calm words. " * 50_000 + str(k)) for k in range(3)], "doc_id int, text string"))
+    assert abuse.adapted(long, chars=100) is not None and abuse.adapted(long, chars=0) is abuse.trained()
 
 
 def test_long_words_are_read_whole(model):
