@@ -428,7 +428,7 @@ def adapted(df: DataFrame, text: str = "text", texts: int = BACKGROUND, chars: i
     often fills it. One scan; about twice as many are kept until
     repeats are dropped. Of an empty table this is :func:`trained`.
     """
-    rows = df.select(F.col(f"`{text}`").cast("string").alias("t")).where("t IS NOT NULL").withColumn("h", F.xxhash64("t"))
+    rows = df.select(F.col(f"`{text}`").cast("string").alias("t")).where("t <> ''").withColumn("h", F.xxhash64("t"))
     part = min(1.0, 2 * texts / max(1, df.count()))
     rows = rows.where(F.pmod("h", F.lit(1 << 31)) < int(part * (1 << 31))).dropDuplicates(["h"]) if part < 1 else rows.dropDuplicates(["h"])
     rows = cut(rows)
