@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tamarisk.functions.text import BLANK, word_count
+from tamarisk.session import broadcast_if_small, cut
+
+#: Pairs of a task of the pool join, and the tasks from which they become more instead.
+TASK_PAIRS, MOST_TASKS = 1_000_000, 20_000
 
 
 def prevalence(docs: DataFrame, cues: DataFrame, by: tuple[str, ...] = ("country", "seniority")) -> DataFrame:
@@ -102,24 +108,66 @@ def rank_displacement(scores: DataFrame) -> DataFrame:
     return d.groupBy("group").agg(F.count("*").alias("n_pairs"), F.avg("d").alias("mean"), *[F.percentile("d", F.lit(q)).alias(n) for q, n in ((0.25, "lower"), (0.5, "median"), (0.75, "upper"))])
 
 
-def matched_pools(targets: DataFrame, candidates: DataFrame, tolerance: float, size: int, seed: int) -> DataFrame:
+def _cell(sd: Column, width: float) -> Column:
+    """The cell of an sd, never falling as the sd rises; all beyond 2^40 cells from 0 are in the last one."""
+    return F.floor(F.greatest(F.least(sd / width, F.lit(2.0**40)), F.lit(-(2.0**40))))
+
+
+def matched_pools(targets: DataFrame, candidates: DataFrame, tolerance: float, size: int, seed: int, spare: int = 20) -> DataFrame:
     """(target_id, candidate_id, place): the pool of each target, drawn once for a seed.
 
     targets: target_id, sd; candidates: candidate_id, sd. A candidate matches
-    within ``tolerance``. The range join is an equi-join of cells as wide as
-    the tolerance, each target looking into three of them. Of the matches the
-    ``size`` first by SHA-256 of seed, target and candidate are taken, which
-    Spark limits before the shuffle. Null sds match nothing.
+    within ``tolerance``. Of the matches the ``size`` first by SHA-256 of seed,
+    target and candidate are taken; a pair with a null id comes last. Null,
+    NaN and infinite sds match nothing.
+
+    The range join is an equi-join of cells an eighth as wide as the
+    tolerance. Its inputs are small and its output isn't, so the number of
+    tasks follows the pairs of each cell, and a cell of many is split. The
+    matches of each target are counted, then hashed; sorted are only those
+    below the hash under which 2 * size + ``spare`` of them are expected. They
+    are the first ones, so a target with ``size`` of them is done. Targets
+    with fewer, which chance all but rules out, sort all of their matches.
     """
     if tolerance <= 0 or size < 1:
         raise ValueError("tolerance and size must be positive")
-    cell = F.floor(F.col("sd") / tolerance)
-    t = targets.where("sd IS NOT NULL").select("target_id", F.col("sd").alias("t_sd"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    c = candidates.where("sd IS NOT NULL").select("candidate_id", F.col("sd").alias("c_sd"), cell.alias("cell"))
-    rows = t.join(c, "cell").where(F.abs(F.col("t_sd") - F.col("c_sd")) <= tolerance).select("target_id", "candidate_id")
-    order = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("target_id").cast("string"), F.col("candidate_id").cast("string")), 256)
-    rows = rows.withColumn("h", order).withColumn("place", F.row_number().over(W.partitionBy("target_id").orderBy("h", "candidate_id")))
-    return rows.where(F.col("place") <= size).select("target_id", "candidate_id", "place")
+    width, reach, text = tolerance / 8, tolerance * (1 + 2.0**-10), lambda c: F.col(c).cast("string")
+    finite = F.abs("sd") < float("inf")
+    t = targets.where(finite).select("target_id", F.col("sd").alias("t_sd"), F.concat(F.lit(f"{seed}|"), text("target_id"), F.lit("|")).alias("t_text"))
+    c = candidates.where(finite).select("candidate_id", F.col("sd").alias("c_sd"), text("candidate_id").alias("c_text"), _cell(F.col("sd"), width).alias("cell"))
+    cells = F.explode(F.sequence(_cell(F.col("t_sd") - reach, width), _cell(F.col("t_sd") + reach, width))).alias("cell")
+    near = F.abs(F.col("t_sd") - F.col("c_sd")) <= tolerance
+    digest = F.coalesce(F.sha2(F.concat("t_text", "c_text"), 256), F.lit("g"))  # g follows all hex digits
+
+    load = cut(t.select(cells).groupBy("cell").agg(F.count("*").alias("n_t")).join(c.groupBy("cell").agg(F.count("*").alias("n_c")), "cell").select("cell", (F.col("n_t").cast("double") * F.col("n_c")).alias("pairs")))
+    total = load.agg(F.sum("pairs")).first()[0] or 0.0
+    each = max(TASK_PAIRS, total / MOST_TASKS)
+    tasks = max(1, math.ceil(total / each))
+    hot = broadcast_if_small(load.where(F.col("pairs") > each).select("cell", F.ceil(F.col("pairs") / each).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    spread = c.join(hot, "cell", "left").withColumn("part", F.pmod(F.xxhash64("candidate_id", "c_sd"), parts).cast("int")).drop("parts").repartition(tasks, "cell", "part")
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        rows = rows.select("*", cells).join(hot, "cell", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        return rows.repartition(tasks, "cell", "part").join(spread, ["cell", "part"]).where(near)
+
+    def first(rows: DataFrame) -> DataFrame:
+        """The digest is made anew, which is less than to shuffle it."""
+        rows = rows.select("target_id", "t_text", "candidate_id", "c_text").repartition("target_id").withColumn("h", digest)
+        place = F.row_number().over(W.partitionBy("target_id").orderBy("h", F.asc_nulls_last("candidate_id")))
+        return rows.withColumn("place", place).where(F.col("place") <= size).select("target_id", "candidate_id", "place")
+
+    n = cut(pairs(t).groupBy("target_id").agg(F.count("*").alias("n")))
+    # Twelve hex digits of the share of digests that is expected to hold enough.
+    share = (2 * size + spare) / F.col("n")
+    below = n.select(F.col("target_id").alias("id"), F.when(share < 1, F.lower(F.lpad(F.hex((share * 2.0**48).cast("bigint")), 12, "0"))).otherwise("h").alias("below"))
+    drawn = cut(first(pairs(t.join(below, F.col("target_id").eqNullSafe(F.col("id"))).drop("id")).where(digest < F.col("below"))))
+    got = drawn.groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("got"))
+    short = cut(n.join(got, F.col("target_id").eqNullSafe(F.col("id")), "left").where(F.coalesce("got", F.lit(0)) < F.least(F.lit(size), F.col("n"))).select(F.col("target_id").alias("id")))
+    if short.isEmpty():
+        return drawn
+    one = F.col("target_id").eqNullSafe(F.col("id"))
+    return drawn.join(short, one, "left_anti").unionByName(first(pairs(t.join(short, one, "left_semi"))))
 
 
 def register_violations(docs: DataFrame, cues: DataFrame) -> DataFrame:

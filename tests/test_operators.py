@@ -245,6 +245,55 @@ def test_pools_against_brute_force(spark):
         prevalence.matched_pools(got, got, 0.0, 4, 3)
 
 
+def _pools(spark, t, c, *args):
+    got = prevalence.matched_pools(spark.createDataFrame(t, "target_id int, sd double"), spark.createDataFrame(c, "candidate_id int, sd double"), *args)
+    pools = {}
+    for r in sorted(got.collect(), key=lambda r: r.place):
+        pools.setdefault(r.target_id, []).append(r.candidate_id)
+    return pools
+
+
+def test_pools_of_odd_sds(spark):
+    inf, nan = float("inf"), float("nan")
+    t = [(1, 40.0), (2, inf), (3, nan), (4, 1e30), (5, -inf), (6, -1e-20)]
+    c = [(1, -1e-20), (2, inf), (3, nan), (4, 1e30), (5, -inf), (6, 40.0), (7, 80.0), (8, 80.00001)]
+    assert {k: sorted(x) for k, x in _pools(spark, t, c, 40.0, 9, 3).items()} == {1: [1, 6, 7], 4: [4], 6: [1, 6]}
+
+
+def test_pools_of_null_ids_like_sql(spark):
+    t, c = [(1, 0.0), (None, 0.0), (2, 9.0)], [(k, 0.1) for k in (5, None, 3, 4)]
+    by_hash = sorted((3, 4, 5), key=lambda i: hashlib.sha256(f"3|1|{i}".encode()).hexdigest())
+    assert _pools(spark, t, c, 1.0, 9, 3) == {1: [*by_hash, None], None: [3, 4, 5, None]}
+
+
+@pytest.mark.parametrize("spare", [20, -4, -7])
+def test_pools_short_of_low_hashes_and_split_cells(spark, monkeypatch, spare):
+    """With fewer hashes expected below the bound than the pool holds, targets sort all of their matches."""
+    monkeypatch.setattr(prevalence, "TASK_PAIRS", 200)
+    rng = random.Random(9)
+    t = [(k, rng.choice([0.0, rng.uniform(-5, 5)])) for k in range(15)] + [(99, 50.0)]
+    c = [(k, rng.choice([0.0, rng.uniform(-5, 5)])) for k in range(200)]
+    want = {k: [i for _, i in sorted((hashlib.sha256(f"3|{k}|{i}".encode()).hexdigest(), i) for i, x in c if abs(x - sd) <= 0.7)[:4]] for k, sd in t}
+    assert _pools(spark, t, c, 0.7, 4, 3, spare) == {k: x for k, x in want.items() if x}
+
+
+def test_pools_sort_few_of_their_pairs(spark):
+    """A million pairs of two small tables: no stage holds them all in memory, as a sort of them does with 170 MB."""
+    sc = spark.sparkContext
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {s.stageId(): s.peakExecutionMemory() for s in map(found.apply, range(found.size()))}
+
+    before = stages()
+    t = spark.range(50).select(F.col("id").alias("target_id"), (F.col("id") / 50).alias("sd"))
+    c = spark.range(20_000).select(F.col("id").alias("candidate_id"), (F.col("id") / 20_000).alias("sd"))
+    assert prevalence.matched_pools(t, c, 2.0, 5, 3).count() == 250
+    peaks = [m for s, m in stages().items() if s not in before]
+    assert peaks and max(peaks) < 120e6
+
+
 def test_registers_and_twins(spark):
     docs = spark.createDataFrame([("a", "R1"), ("b", "R1"), ("c", "R2"), ("d", "R3"), ("e", "R5"), ("f", "R2")], "doc_id string, register string")
     cues = spark.createDataFrame([("a", "applicant", "m"), ("b", "applicant", "f"), ("c", "applicant", "m"), ("d", "applicant", "f"), ("e", "non_applicant", "f"), ("f", "applicant", "m"), ("f", "applicant", "f")], "doc_id string, referent string, gen string")
